@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm import chunks, duplicates, offence, packing, survivors, tokens
-from brightloom.session import stored, table
+from brightloom.llm import chunks, duplicates, offence, packing, survivors, tokens, turns
+from brightloom.session import table
+
+
+def _transcripts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, turns.Roster]:
+    return turns.with_company(table(spark, sf_dir, "evidence"), table(spark, sf_dir, "disclosures")), turns.roster_of(table(spark, sf_dir, "participants"))
+
+
+def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every transcript with its speaker and clean words."""
+    scripts, roster = _transcripts(spark, sf_dir)
+    return turns.speaker_turns(scripts, roster, turns.cleaner_of(table(spark, sf_dir, "filler_terms")), turns.trained(scripts, roster))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of transcripts, and the speakers that cards' labels name."""
+    scripts, roster = _transcripts(spark, sf_dir)
+    spoken = turns.speaker_turns(scripts, roster, turns.cleaner_of(table(spark, sf_dir, "filler_terms")), turns.trained(scripts, roster))
+    said = spoken.select(F.lit("turn").alias("record_kind"), F.col("evidence_id").alias("record_id"), "turn_no", "speaker_id", "n_words")
+    labels = turns.card_speakers(table(spark, sf_dir, "cards"), roster)
+    return said.unionByName(labels.select("record_kind", "record_id", F.lit(0).alias("turn_no"), "speaker_id", F.lit(0).alias("n_words")))
 
 
 def written_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +98,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_turns": p2_turns,
     "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids,
     "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
