@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.plans import problems
+from brightloom.plans import documents, problems, star, streams
 
-_MODULES = (problems,)
+_MODULES = (problems, documents, star, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p4_found(spark, sf_dir)
+    return documents.source_manifests(spark, sf_dir)
