@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.operators import quantity_text as qt
-from brightloom.session import arrow, blank, small, stored
+from brightloom.session import arrow, blank, small, spread, stored
 
 #: aliases of more distinct spellings than this are joined by shuffle, not broadcast.
 BROADCAST_ALIASES = 100_000
@@ -159,7 +159,7 @@ def read_quantities(cards: DataFrame, catalog: DataFrame, key: str = "card_seq")
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)[\W_]+", " "))
     kinds = catalog.select(fold("metric").alias("_m"), F.col("quantity_kind").alias("kind"), "common_unit").dropDuplicates(["_m"])
     rows = cards.select(F.col(key).alias("_key"), "metric", "value_num", "value_text", "unit", "quote").where(~blank("metric")).withColumn("_m", fold("metric"))
-    return rows.join(kinds, "_m").select("_key", "kind", "common_unit", "value_num", "unit", _read("metric", "value_num", "value_text", "unit", "quote").alias("r")).select("*", "r.*").drop("r")
+    return spread(rows).join(kinds, "_m").select("_key", "kind", "common_unit", "value_num", "unit", _read("metric", "value_num", "value_text", "unit", "quote").alias("r")).select("*", "r.*").drop("r")
 
 
 @arrow("double")

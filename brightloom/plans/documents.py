@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brightloom.functions import periods, text, urls
 from brightloom.operators import articles, cards, checks, events, store, unitize
 from brightloom.operators.groups import numbered
-from brightloom.session import stored, table
+from brightloom.session import spread, stored, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -60,7 +60,7 @@ SELECT doc_id, round(({_TERM_HITS}) * 4 + least(len(regexp_extract_all(text, '(?
   + len(regexp_extract_all(regexp_replace(lower(text), '({_EDGE})', '\1\1', 'g'), '(?:^|{_EDGE})(?:q[1-4]|fy(?:\s\s)?20\d{{2}}|20\d{{2}})(?:$|{_EDGE})')) * 0.5, 4) AS score
 FROM documents WHERE text IS NOT NULL""")
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.round(text.page_score(F.col("text")), 4).alias("score"))
+    return spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.round(text.page_score(F.col("text")), 4).alias("score"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest, left(sha256(text), 24) AS short_digest FROM documents")
@@ -294,7 +294,7 @@ docs AS (
 
 
 def evidence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unitize.units(table(spark, sf_dir, "evidence"))
+    return unitize.units(spread(table(spark, sf_dir, "evidence")))
 
 
 @query(f"WITH RECURSIVE {_UNITS} SELECT * FROM units")

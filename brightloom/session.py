@@ -50,6 +50,13 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before costly work on its rows, where its scan has fewer partitions than there are cores; larger tables stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().executedPlan().execute().getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, most_rows: int, count: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has most_rows rows at most (df should be stored); else unchanged, and the join shuffles."""
     return F.broadcast(df) if (df.count() if count is None else count) <= most_rows else df
