@@ -20,9 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.session import spread
+
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: terms are hashed to so many weights, with so many factors each.
 BITS, FACTORS = 16, 8
@@ -206,11 +208,9 @@ def _logit(x: np.ndarray, fitted: tuple[float, np.ndarray, np.ndarray]) -> np.nd
 
 def _telling(x: np.ndarray, doc: np.ndarray, mine: np.ndarray) -> np.ndarray:
     """How much each term tells the documents in `mine` from all others: the log of their numbers' ratio, where more of its documents are in it."""
-    size = (1 << BITS) + 1
-    pairs = np.unique(doc.astype(np.int64)[:, None] * size + x)  # each term once a document
-    of, term = pairs // size, pairs % size
-    here = np.bincount(term[mine[of]], minlength=size).astype(float)
-    there = np.bincount(term[~mine[of]], minlength=size).astype(float)
+    here, there = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    for rows, mine_too in zip(np.split(x, np.nonzero(np.diff(doc))[0] + 1), mine[doc[np.concatenate([[0], np.nonzero(np.diff(doc))[0] + 1])]] if len(doc) else []):
+        (here if mine_too else there)[np.unique(rows)] += 1  # each term once a document
     told = np.clip(np.log((here + 0.5) / (there + 0.5)), 0, 5)
     told[here < (2 if mine.sum() >= 10 else 1)] = 0
     told[-1] = 0
@@ -247,22 +247,52 @@ def _machine(x: np.ndarray, doc: np.ndarray, mine: np.ndarray, rounds: int, epoc
     raise AssertionError
 
 
-def train(texts: list[str], labels: list[set[str]], rounds: int = 3, epochs: int = 5, seed: int = 7) -> Machine:
-    """The machine fitted on labelled documents; labels holds each document's categories."""
+def _prepared(texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Numbers of the texts with words, the features of all their windows, and each window's place among those texts."""
     words = [terms(t) for t in texts]
     docs = [i for i, w in enumerate(words) if len(w)]
     rows = [_features(words[i]).astype(np.int32) for i in docs]
     x = np.concatenate(rows) if rows else np.zeros((0, 2 * WINDOW), np.int32)
-    doc = np.repeat(np.arange(len(docs)), [len(r) for r in rows])
+    return docs, x, np.repeat(np.arange(len(docs)), [len(r) for r in rows])
+
+
+def train_one(texts: list[str], has: list[bool], rounds: int = 3, epochs: int = 5, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """Bias, weights and factors of one category's machine, or None where all or none of the documents have it."""
+    docs, x, doc = _prepared(texts)
+    mine = np.array([has[i] for i in docs], bool)
+    return _machine(x, doc, mine, rounds, epochs, seed) if mine.any() and not mine.all() else None
+
+
+def _joined(parts: list[tuple[float, np.ndarray, np.ndarray] | None]) -> Machine:
     size = (1 << BITS) + 1
     machine = Machine(np.full(len(CATEGORIES), -30.0), np.zeros((size, len(CATEGORIES)), np.float32), np.zeros((size, len(CATEGORIES), FACTORS), np.float32))
-    for c, category in enumerate(CATEGORIES):
-        mine = np.array([category in labels[i] for i in docs], bool)
-        if mine.any() and not mine.all():
-            machine.bias[c], machine.weight[:, c], machine.factor[:, c] = _machine(x, doc, mine, rounds, epochs, seed)
+    for c, p in enumerate(parts):
+        if p is not None:
+            machine.bias[c], machine.weight[:, c], machine.factor[:, c] = p
     return machine
 
 
+def train(texts: list[str], labels: list[set[str]]) -> Machine:
+    """The machine fitted on labelled documents; labels holds each document's categories."""
+    return _joined([train_one(texts, [c in x for x in labels]) for c in CATEGORIES])
+
+
+def train_on(spark: SparkSession, texts: list[str], labels: list[set[str]]) -> Machine:
+    """The same, each category on an executor of its own."""
+    shared = spark.sparkContext.broadcast((texts, [sorted(x) for x in labels]))  # the sample, whose size is bounded
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for c in pdf["category"]:
+                got = train_one(shared.value[0], [c in x for x in shared.value[1]])
+                if got is not None:
+                    yield pd.DataFrame({"category": [c], "bias": [float(got[0])], "weight": [got[1].astype(np.float32).tobytes()], "factor": [got[2].astype(np.float32).tobytes()]})
+
+    jobs = spark.createDataFrame([(c, i) for i, c in enumerate(CATEGORIES)], "category string, n int").repartitionByRange(len(CATEGORIES), "n")
+    got = {r["category"]: r for r in jobs.select("category").mapInPandas(run, "category string, bias double, weight binary, factor binary").collect()}
+    return _joined([(got[c]["bias"], np.frombuffer(got[c]["weight"], np.float32), np.frombuffer(got[c]["factor"], np.float32).reshape(-1, FACTORS)) if c in got else None for c in CATEGORIES])
+
+
 def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, clean: int = MOST_CLEAN) -> tuple[list[str], list[set[str]]]:
     """A bounded sample of labelled documents: at most `most` of each category and `clean` of none, in the order of a hash of their ids."""
     by_doc = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set(F.when(F.col("category").isin(*CATEGORIES), F.col("category"))).alias("cats"))
@@ -290,7 +320,7 @@ def score(documents: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
                 out[c] = s[:, i]
             yield out
 
-    rows = documents.select(*keep, F.col("text").alias("_t"))
+    rows = spread(documents.select(*keep, F.col("text").alias("_t")))
     return rows.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), *(f"{c} double" for c in CATEGORIES)]))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.llm.roster import MOST_PEOPLE, Roster, fold
-from brightloom.session import small, stored
+from brightloom.session import small, spread, stored
 
 #: the model is fitted on at most so many transcripts, in the order of a hash of their ids.
 MOST_TRAINING = 60
@@ -382,7 +382,7 @@ def speaker_turns(scripts: DataFrame, roster: Roster, cleaner: Cleaner, model: S
             frame["start_s"] = frame["start_s"].astype("float64")
             yield frame
 
-    return scripts.select("evidence_id", "text", "ticker").mapInPandas(run, "evidence_id long, turn_no int, speaker_id long, n_words int, label string, start_s double, said string")
+    return spread(scripts.select("evidence_id", "text", "ticker")).mapInPandas(run, "evidence_id long, turn_no int, speaker_id long, n_words int, label string, start_s double, said string")
 
 
 def card_speakers(cards: DataFrame, roster: Roster) -> DataFrame:
