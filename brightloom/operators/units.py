@@ -102,25 +102,33 @@ def grams(spelling: str, n: int = 2) -> list[str]:
 _CHEAP = set(" .,:;'’\"()=-_")
 
 
-def edit_cost(a: str, b: str) -> float:
-    """Weighted edit distance of two spellings."""
-
-    def drop(s: str, i: int) -> float:
-        c = s[i]
+def _drops(s: str) -> list[float]:
+    """What each letter of a spelling costs to leave out."""
+    out = []
+    for i, c in enumerate(s):
         if c in _CHEAP:
-            return 0.02
-        if c == "s" and i == len(s) - 1 and len(s) > 3:
-            return 0.1
-        return 2.0 if i == 0 or s[i - 1] in _CHEAP or c in "0123456789%‰$¢/" else 1.0
+            out.append(0.02)
+        elif c == "s" and i == len(s) - 1 and len(s) > 3:
+            out.append(0.1)
+        else:
+            out.append(2.0 if i == 0 or s[i - 1] in _CHEAP or c in "0123456789%‰$¢/" else 1.0)
+    return out
+
 
+def edit_cost(a: str, b: str, limit: float = float("inf")) -> float:
+    """Weighted edit distance of two spellings; infinite as soon as it must be over the limit."""
+    da, db = _drops(a), _drops(b)
     row = [0.0]
-    for j in range(len(b)):
-        row.append(row[-1] + drop(b, j))
-    for i in range(len(a)):
-        new = [row[0] + drop(a, i)]
-        for j in range(len(b)):
-            swap = 0.0 if a[i] == b[j] else max(drop(a, i), drop(b, j)) + (0.5 if i == 0 or j == 0 else 0)
-            new.append(min(row[j] + swap, row[j + 1] + drop(a, i), new[j] + drop(b, j)))
+    for d in db:
+        row.append(row[-1] + d)
+    for i, x in enumerate(a):
+        out = da[i]
+        new = [row[0] + out]
+        for j, y in enumerate(db):
+            swap = 0.0 if x == b[j] else max(out, y) + (0.5 if i == 0 or j == 0 else 0)
+            new.append(min(row[j] + swap, row[j + 1] + out, new[j] + y))
+        if min(new) > limit:
+            return float("inf")
         row = new
     return row[-1]
 
@@ -164,7 +172,7 @@ def read_quantities(cards: DataFrame, catalog: DataFrame, key: str = "card_seq")
 
 @arrow("double")
 def _cost(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_cost(x, y) if x is not None and y is not None else None for x, y in zip(a, b)])
+    return pd.Series([edit_cost(x, y, allowed_cost(x)) for x, y in zip(a, b)], dtype="float64")
 
 
 @arrow("double")
@@ -186,7 +194,7 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
     asked = spellings.where(F.col("spelling") != "").distinct().withColumn("g", _grams("spelling"))
     shared = asked.withColumn("n_grams", F.size("g")).withColumn("gram", F.explode("g")).drop("g").join(index, ["kind", "gram"])
     candidates = shared.groupBy("kind", "spelling", "n_grams", "name", "num", "den").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") * 2 >= F.col("n_grams") - 1)
-    verified = candidates.withColumn("cost", _cost("spelling", "name")).where(F.col("cost") <= _allowed("spelling"))
+    verified = candidates.repartition(spark.sparkContext.defaultParallelism).withColumn("cost", _cost("spelling", "name")).where(F.col("cost") <= _allowed("spelling"))
     by_unit = verified.groupBy("kind", "spelling", "num", "den").agg(F.min("cost").alias("cost"))
     best = by_unit.groupBy("kind", "spelling").agg(F.sort_array(F.collect_list(F.struct("cost", "num", "den"))).alias("fits"))  # at most one entry a unit of the vocabulary
     clear = (F.size("fits") == 1) | (F.expr("try_element_at(fits, 2).cost") - F.col("fits")[0]["cost"] >= 0.25)

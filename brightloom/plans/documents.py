@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.functions import periods, text, urls
-from brightloom.operators import articles, cards, checks, events, store, unitize
+from brightloom.operators import articles, cards, checks, events, evidence, store, unitize
 from brightloom.operators.groups import numbered
 from brightloom.session import spread, stored, table
 
@@ -536,3 +536,38 @@ def message_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in UTF-16 units, as message limits count them, and whether 4,000 characters cut them."""
     t = F.col("text")
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", utf16(t).alias("utf16_units"), text.shortened(t, 4000)[1].alias("cut"))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT event_id, ticker, fiscal_year, quarter FROM earnings_events),
+once AS (SELECT ticker, fiscal_year, quarter, min(event_id) AS event_id FROM e GROUP BY ALL HAVING count(DISTINCT event_id) = 1)
+SELECT d.disclosure_seq, o.event_id FROM (SELECT *, try_cast(nullif(regexp_extract(title, '(20\\d{2})', 1), '') AS INT) AS y, 'Q' || coalesce(%s, %s) AS q FROM disclosures WHERE ticker IS NOT NULL) d
+JOIN once o ON o.ticker = d.ticker AND o.fiscal_year = d.y AND o.quarter = d.q""" % (_QDIGIT, _QWORD))
+def titles_on_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose title alone fits one event of their company."""
+    d = table(spark, sf_dir, "disclosures").where("ticker IS NOT NULL").select("disclosure_seq", "ticker", "title", F.lit(None).cast("date").alias("day"))
+    return evidence.match_events(d, table(spark, sf_dir, "earnings_events"), "disclosure_seq", "ticker", "title", "day")
+
+
+@query("""
+SELECT evidence_id, floor(48000 / greatest(1, n))::INT AS share, least(length(text), floor(48000 / greatest(1, n)))::INT AS kept FROM (SELECT *, count(*) OVER (PARTITION BY metadata.source) AS n FROM evidence) WHERE text IS NOT NULL""")
+def budget_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut to equal shares of their source's budget."""
+    e = table(spark, sf_dir, "evidence").select("evidence_id", F.col("metadata.source").alias("source"), "text")
+    n = e.groupBy("source").agg(count().alias("n"))
+    cut = evidence.equal_share(e, ["source"], "text").where("text IS NOT NULL").join(n, "source")
+    return cut.select("evidence_id", F.floor(F.lit(48000) / F.greatest(F.lit(1), F.col("n"))).cast("int").alias("share"), F.length("text").alias("kept"))
+
+
+@query()
+def related_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other units of a document that speak of what a unit opens with."""
+    u = stored(evidence_units(spark, sf_dir).where("position > 0"), "units")
+    return evidence.related_units(u, "evidence_id", F.nullif(F.regexp_extract("unit", r"(backlog|gross margin|free cash flow|inventory|guidance)", 1), F.lit("")))
+
+
+@query()
+def budgeted_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of calls within 30,000 characters a call."""
+    s = unitize.sections(table(spark, sf_dir, "evidence")).where("kind = 'qa'")
+    return evidence.within_budget(s, ["evidence_id"], [F.col("position")], "section", 30_000).select("section_id", F.length("section").alias("kept"))

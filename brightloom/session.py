@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_stored: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,9 +48,19 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Removes the tables that this process has stored; results that read them must have been computed. Gives their number."""
+    n = 0
+    while _stored:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores before costly work on its rows, where its scan has fewer partitions than there are cores; larger tables stay as they are."""
     spark = df.sparkSession
