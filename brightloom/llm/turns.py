@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from brightloom.llm.roster import MOST_PEOPLE, Roster, fold
 from brightloom.session import small, spread, stored
 
-#: the model is fitted on at most so many transcripts, in the order of a hash of their ids.
-MOST_TRAINING = 60
+#: the model is fitted on at most so many whole transcripts of at most so many characters, in the order of a hash of their ids.
+MOST_TRAINING, LONGEST_TRAINING = 60, 200_000
 #: keys of evidence with their company up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_KEYS = 500_000
 
@@ -359,8 +359,9 @@ def with_company(evidence: DataFrame, disclosures: DataFrame) -> DataFrame:
 
 def trained(scripts: DataFrame, roster: Roster) -> SemiMarkov:
     """The model fitted on a bounded sample of transcripts."""
-    picked = scripts.select("evidence_id").distinct().orderBy(F.xxhash64("evidence_id"), "evidence_id").limit(MOST_TRAINING)
-    rows = scripts.join(F.broadcast(picked), "evidence_id").select(F.substring("text", 1, 40_000).alias("text"), "ticker", "evidence_id").limit(2 * MOST_TRAINING).collect()  # for the fit; decoding reads whole texts
+    fit = scripts.where(F.length("text") <= LONGEST_TRAINING)
+    picked = fit.select("evidence_id").distinct().orderBy(F.xxhash64("evidence_id"), "evidence_id").limit(MOST_TRAINING)
+    rows = fit.join(F.broadcast(picked), "evidence_id").select("text", "ticker", "evidence_id").limit(2 * MOST_TRAINING).collect()
     data = training_rows([(r["text"], r["ticker"]) for r in sorted(rows, key=lambda r: (r["evidence_id"], r["text"]))], roster)
     return SemiMarkov().fit(data) if data else SemiMarkov()
 
