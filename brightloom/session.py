@@ -68,6 +68,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().executedPlan().execute().getNumPartitions() < cores else df
 
 
+def map_rows(df: DataFrame, keep: list[str], content: list[Column], run, schema: str) -> DataFrame:
+    """Rows through Python in batches: run gets frames of the keep columns as texts, and of the content columns, and gives frames with the keep columns and those of schema.
+
+    Kept columns travel as texts and get their own types back, since whole numbers beside nulls would become floats on the way."""
+    kinds = {c: df.schema[c].dataType for c in keep}
+    asked = spread(df.select(*[F.col(c).cast("string").alias(c) for c in keep], *content))
+    out = asked.mapInPandas(run, ", ".join([*(f"`{c}` string" for c in keep), schema]))
+    return out.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()], *[c for c in out.columns if c not in keep])
+
+
 def small(df: DataFrame, most_rows: int, count: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has most_rows rows at most (df should be stored); else unchanged, and the join shuffles."""
     return F.broadcast(df) if (df.count() if count is None else count) <= most_rows else df

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.session import map_rows
+
 # Parts of a page that are no text; elements that a link's context is taken from; suffixes of page furniture; concept words of facts; row words of spreadsheets.
 NO_TEXT = {"script", "style", "noscript", "svg", "nav", "header", "footer"}
 HEADINGS, PARENTS = {"h1", "h2", "h3", "h4", "dt"}, {"li", "tr", "article", "section", "div", "p"}
@@ -221,9 +223,8 @@ def _each(df: DataFrame, key: str, cols: list[str], f, schema: str) -> DataFrame
             rows = [{key: k} | r for k, *v in zip(pdf[key], *[pdf[c] for c in cols]) for r in f(*v)]
             yield pd.DataFrame(rows, columns=names)
 
-    full = f"{key} {df.schema[key].dataType.simpleString()}, {schema}"
-    names = [x.split()[0] for x in full.split(", ")]
-    return df.select(key, *cols).mapInPandas(run, full)
+    names = [key, *(x.split()[0] for x in schema.split(", "))]
+    return map_rows(df, [key], [F.col(c) for c in cols], run, schema)
 
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
