@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.session import spread
+from brightloom.session import map_rows
 
 # Unicode white space and the marks that end a sentence.
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -149,8 +149,7 @@ def oversized(rows: DataFrame, key: str, text: str = "text", rule: Rule = Rule()
             got = [cut(t, rule) for t in pdf["_t"]]
             yield pd.DataFrame({key: pdf[key], "n_pieces": [len(s) for s, _, _ in got], "hard_pieces": [sum(h) for _, h, _ in got], "hard_cut": [int(r > rule.most) for _, _, r in got]})
 
-    rows = spread(rows.select(key, F.col(text).alias("_t")).where(F.length("_t") > rule.most))
-    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, n_pieces int, hard_pieces int, hard_cut int")
+    return map_rows(rows.where(F.length(text) > rule.most), [key], [F.col(text).alias("_t")], run, "n_pieces int, hard_pieces int, hard_cut int")
 
 
 def pieces(rows: DataFrame, key: str, text: str = "text", rule: Rule = Rule()) -> DataFrame:
@@ -162,5 +161,4 @@ def pieces(rows: DataFrame, key: str, text: str = "text", rule: Rule = Rule()) -
                 spans, hard, _ = cut(t, rule)
                 yield pd.DataFrame({key: [k] * len(spans), "piece_no": range(1, len(spans) + 1), "start_char": [a for a, _ in spans], "end_char": [b for _, b in spans], "hard": hard, "piece": [t[a:b] for a, b in spans]})
 
-    rows = spread(rows.select(key, F.col(text).alias("_t")).where(F.length("_t") > rule.most))
-    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, piece_no int, start_char long, end_char long, hard boolean, piece string")
+    return map_rows(rows.where(F.length(text) > rule.most), [key], [F.col(text).alias("_t")], run, "piece_no int, start_char long, end_char long, hard boolean, piece string")

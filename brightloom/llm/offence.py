@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.session import spread
+from brightloom.session import map_rows
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: terms are hashed to so many weights, with so many factors each.
@@ -308,7 +308,6 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED,
 
 def score(documents: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
     """keep columns and a score from 0 to 1 for every category."""
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
     shared = documents.sparkSession.sparkContext.broadcast(machine)  # 65,537 slots of 27 numbers, whatever the data
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,8 +319,7 @@ def score(documents: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
                 out[c] = s[:, i]
             yield out
 
-    rows = spread(documents.select(*keep, F.col("text").alias("_t")))
-    return rows.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), *(f"{c} double" for c in CATEGORIES)]))
+    return map_rows(documents, keep, [F.col("text").alias("_t")], run, ", ".join(f"{c} double" for c in CATEGORIES))
 
 
 def cases(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -67,14 +67,14 @@ def pack(items: DataFrame, key: str, size: str, capacity: str, by: list[str], ce
     """(by, container, key, part, from_token, n_tokens): items have their size and the capacity that holds for them.
 
     by: columns of one packing, such as a spec's id. container numbers are unique in a packing."""
-    rows = items.select(*by, F.col(key).alias("_key"), F.col(size).cast("long").alias("_n"), F.col(capacity).cast("long").alias("_cap")).where("_cap > 0 AND _n IS NOT NULL")
+    rows = items.select(*by, F.col(key).cast("string").alias("_key"), F.col(size).cast("long").alias("_n"), F.col(capacity).cast("long").alias("_cap")).where("_cap > 0 AND _n IS NOT NULL")
     counts = F.broadcast(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_items")).withColumn("_cells", F.ceil(F.col("_items") / cell)).select(*by, "_cells"))  # a row a packing
     celled = rows.join(counts, by).withColumn("_cell", F.pmod(F.xxhash64("_key", *by), F.col("_cells")))
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "container long", f"{key} {kinds[key]}", "part int", "from_token long", "n_tokens long"])
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "container long", f"{key} string", "part int", "from_token long", "n_tokens long"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_n", "_key"], ascending=[False, True], kind="stable")
+        pdf = pdf.assign(_len=pdf["_key"].str.len()).sort_values(["_n", "_len", "_key"], ascending=[False, True, True], kind="stable")  # of whole numbers, their order
         cap, n = int(pdf["_cap"].iloc[0]), pdf["_n"].to_numpy()
         full = n // cap * (n > cap) - ((n > cap) & (n % cap == 0))  # full containers of an oversized item; its rest is 1..capacity
         rest = n - full * cap
@@ -94,7 +94,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: str, by: list[str], ce
             out[b] = pdf[b].iloc[0]
         return out[[*by, "container", key, "part", "from_token", "n_tokens"]]
 
-    return celled.groupBy(*by, "_cell").applyInPandas(run, schema)
+    packed = celled.groupBy(*by, "_cell").applyInPandas(run, schema)
+    return packed.select(*by, "container", F.col(key).cast(kinds[key]).alias(key), "part", "from_token", "n_tokens")
 
 
 def pack_texts(documents: DataFrame, specs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = tokens.TOKENIZERS, cell: int = CELL) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.session import spread
+from brightloom.session import map_rows
 
 #: folder of the vocabulary files, a parameter of every function here; files are named NAME.tiktoken (base64 token and rank a line).
 TOKENIZERS = "/opt/tokenizers"
@@ -204,8 +204,7 @@ def encode(rows: DataFrame, key: str, text: str = "text", name: str = "byte_bpe_
             for a, b in _batches(pdf["_t"]):
                 yield pd.DataFrame({key: pdf[key].iloc[a:b], "ids": e.texts([t if isinstance(t, str) else None for t in pdf["_t"].iloc[a:b]])})
 
-    rows = spread(rows.select(key, F.col(text).alias("_t")))
-    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids array<int>")
+    return map_rows(rows, [key], [F.col(text).alias("_t")], run, "ids array<int>")
 
 
 def lengths(rows: DataFrame, key: str, text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -217,5 +216,4 @@ def lengths(rows: DataFrame, key: str, text: str = "text", name: str = "byte_bpe
             for a, b in _batches(pdf["_t"]):
                 yield pd.DataFrame({key: pdf[key].iloc[a:b], "n_tokens": [len(x) for x in e.texts([t if isinstance(t, str) else None for t in pdf["_t"].iloc[a:b]])]})
 
-    rows = spread(rows.select(key, F.col(text).alias("_t")))
-    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, n_tokens long")
+    return map_rows(rows, [key], [F.col(text).alias("_t")], run, "n_tokens long")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.llm.roster import MOST_PEOPLE, Roster, fold
-from brightloom.session import small, spread, stored
+from brightloom.session import map_rows, small, stored
 
 #: the model is fitted on at most so many whole transcripts of at most so many characters, in the order of a hash of their ids.
 MOST_TRAINING, LONGEST_TRAINING = 60, 200_000
@@ -383,7 +383,7 @@ def speaker_turns(scripts: DataFrame, roster: Roster, cleaner: Cleaner, model: S
             frame["start_s"] = frame["start_s"].astype("float64")
             yield frame
 
-    return spread(scripts.select("evidence_id", "text", "ticker")).mapInPandas(run, "evidence_id long, turn_no int, speaker_id long, n_words int, label string, start_s double, said string")
+    return map_rows(scripts, ["evidence_id"], [F.col("text"), F.col("ticker")], run, "turn_no int, speaker_id long, n_words int, label string, start_s double, said string")
 
 
 def card_speakers(cards: DataFrame, roster: Roster) -> DataFrame:
@@ -398,4 +398,4 @@ def card_speakers(cards: DataFrame, roster: Roster) -> DataFrame:
             ids = [people.resolve(t, x)[0] for t, x in zip(pdf["ticker"], pdf["label"])]
             yield pd.DataFrame({"record_kind": pdf["record_kind"], "record_id": pdf["record_id"], "speaker_id": pd.array(ids, dtype="Int64")})
 
-    return rows.mapInPandas(run, "record_kind string, record_id long, speaker_id long")
+    return map_rows(rows, ["record_kind", "record_id"], [F.col("ticker"), F.col("label")], run, "speaker_id long")

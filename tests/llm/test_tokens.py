@@ -87,3 +87,11 @@ def test_pack_texts(spark):
     fill = {r["spec_id"]: r for r in packing.fill(packed, specs).collect()}
     assert fill[1]["containers"] == 2 and fill[2]["containers"] == 1
     assert packing.pack_texts(docs.limit(0), specs).count() == 0 and packing.pack_texts(docs, specs.limit(0)).count() == 0
+
+
+def test_keys_keep_their_values(spark, reference):
+    big = 9_007_199_254_740_993
+    docs = spark.createDataFrame([(big, "one"), (None, "two"), (big + 2, None)], "doc_id long, text string")
+    assert {(r["doc_id"], len(r["ids"])) for r in tokens.encode(docs, "doc_id").collect()} == {(big, 1), (None, 1), (big + 2, 0)}
+    specs = spark.createDataFrame([(1, "byte_bpe_50k", 512)], "spec_id int, tokenizer string, capacity_tokens int")
+    assert {r["doc_id"] for r in packing.pack_texts(docs, specs).collect()} == {big, None, big + 2}
