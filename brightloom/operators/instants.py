@@ -95,6 +95,7 @@ def parse(rows: DataFrame, text: str, order: str) -> DataFrame:
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _FAR = 10**18
+_FIRST_S, _LAST_S = (round((datetime(*d, tzinfo=timezone.utc) - _EPOCH).total_seconds()) for d in ((1, 1, 3), (9999, 12, 29)))
 
 
 def intervals(zone: str, month: int) -> list[tuple[int, int, int]] | None:
@@ -110,6 +111,7 @@ def intervals(zone: str, month: int) -> list[tuple[int, int, int]] | None:
         z = ZoneInfo(known[zone.upper()])
 
     def offset(s: int) -> int:
+        s = min(max(s, _FIRST_S), _LAST_S)  # datetime has no more years
         return round((_EPOCH + timedelta(seconds=s)).astimezone(z).utcoffset().total_seconds())
 
     y, m = divmod(month, 12)

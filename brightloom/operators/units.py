@@ -218,7 +218,7 @@ def normalise(cards: DataFrame, catalog: DataFrame, key: str = "card_seq") -> Da
         return df.join(a, ["kind", f"{side}_unit"], "left").withColumn("_x", number).withColumn(f"{side}_value", exact).drop("_n", "_d", "_x")
 
     both = valued(valued(read, "col"), "quote")
-    value = F.round(F.coalesce("quote_value", "col_value"), 0).cast("long")
+    value = F.round(F.coalesce("quote_value", "col_value"), 0).try_cast("long")
     said = (F.col("value_num").isNotNull()) & (F.col("unit") == F.col("common_unit"))
-    out = both.select(F.col("_key").alias(key), "common_unit", value.alias("common_value"), F.coalesce(said & (F.round("col_value", 0).cast("long") == value), F.lit(False)).alias("stated"), "quote_value", "col_value")
+    out = both.select(F.col("_key").alias(key), "common_unit", value.alias("common_value"), F.coalesce(said & (F.round("col_value", 0).try_cast("long") == value), F.lit(False)).alias("stated"), "quote_value", "col_value")
     return out.where(F.col("common_value").isNotNull())

@@ -52,6 +52,8 @@ CASES = [
     ("lord", "2025-10-05 02:10:00", us(2025, 10, 4, 15, 40)),
     ("us", "0001-01-01T00:00:00Z", us(1, 1, 1)),
     *[("us", t, None) for t in ("2026-02-30T10:00:00Z", "2025-13-04T08:00:00Z", "0000-00-00 00:00:00", "TBD", "", " ", "13:61", "2025-01-01 13:00 PM", "2025-01-01 10:00 Nowhere/City", "2025-01-01 10:61", "12/12", "2025-01-01 10:00 XYZ")],
+    ("us", "9999-12-31 23:59:59", us(9999, 12, 30, 23, 59, 59, zone=NY) + 86_400_000_000),
+    ("jp", "0001-01-01 00:00:00", us(1, 1, 3, zone="Asia/Tokyo") - 2 * 86_400_000_000),
     ("us", None, None),
     ("odd", "2025-01-01", None),
     (None, "2025-01-01", None),

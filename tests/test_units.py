@@ -34,6 +34,7 @@ def test_columns_and_quote(spark):
         (12, "Dividend per share", None, "−$2.5 a share", "", None),
         (13, "Net revenue", float("nan"), "", " ", ""),
         (14, "Copper purchased", 1.0, None, "parsecs", ""),
+        (15, "Net revenue", 9e13, None, "$B", ""), (16, "Net revenue", float("inf"), None, "USD", ""), (17, "Net revenue", 1e300, None, "USD", "x" * 50_000),
         (2, "net_revenue", None, "USD 0.07653B", None, "x"),
     ])
     value = {k: r["common_value"] for k, r in got.items()}
