@@ -83,6 +83,12 @@ def word_form(w: str) -> str:
     return out
 
 
+def _together(m) -> str:
+    """Spaced-out letters as a word; where they begin as the words "a" and "i" do, also without the first."""
+    w = "".join(c for c in m[0] if c.isalpha())
+    return f"{w[0]} {w[1:]} {w}" if m[1] == " " and w[0] in "ai" else w
+
+
 def terms(text: str) -> np.ndarray:
     """64-bit hashes of a text's words in order."""
     if not _state:
@@ -92,7 +98,7 @@ def terms(text: str) -> np.ndarray:
     t = unicodedata.normalize("NFKC", text).casefold()
     if not t.isascii():
         t = "".join(c for c in t if c not in "​‌‍⁠﻿­‎‏")
-    t = spaced.sub(lambda m: "".join(c for c in m[0] if c.isalpha()), t)
+    t = spaced.sub(_together, t)
     out = []
     for w in word.findall(t):
         if (h := known.get(w)) is None:
