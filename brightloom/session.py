@@ -62,10 +62,12 @@ def drop_stored(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores before costly work on its rows, where its scan has fewer partitions than there are cores; larger tables stay as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().executedPlan().execute().getNumPartitions() < cores else df
+    """df over all cores before costly work on its rows, where its scan has fewer partitions than there are cores; larger tables, and what is shuffled or joined before, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():  # to count its partitions would be to run it
+        return df
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
 
 
 def map_rows(df: DataFrame, keep: list[str], content: list[Column], run, schema: str) -> DataFrame:

@@ -15,5 +15,7 @@ def test_stored_tables(spark):
 def test_small_and_spread(spark):
     df = spark.range(10)
     assert "broadcast" in session.small(df, 10)._jdf.queryExecution().logical().toString().lower() and session.small(df, 9) is df
+    shuffled = df.groupBy("id").count()
+    assert session.spread(shuffled) is shuffled
     assert session.spread(df.coalesce(1)).rdd.getNumPartitions() >= 2
     assert [r[0] for r in spark.createDataFrame([(None,), ("",), ("  ",), ("a",)], "x string").select(session.blank("x")).collect()] == [True, True, True, False]
