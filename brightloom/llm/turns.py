@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.llm.roster import MOST_PEOPLE, Roster, fold
-from brightloom.session import map_rows, small, stored
+from brightloom.session import map_rows, small, spread, stored
 
 #: the model is fitted on at most so many whole transcripts of at most so many characters, in the order of a hash of their ids.
 MOST_TRAINING, LONGEST_TRAINING = 60, 200_000
@@ -354,7 +354,7 @@ def with_company(evidence: DataFrame, disclosures: DataFrame) -> DataFrame:
     keys = scripts.select(F.col("document_key").alias("_k")).where("_k IS NOT NULL").distinct()
     named = disclosures.where("ticker IS NOT NULL").select(F.concat_ws(":", "source", "source_id").alias("_k"), F.col("ticker").alias("_ticker"))
     company = stored(named.join(keys, "_k", "left_semi").groupBy("_k").agg(F.min("_ticker").alias("_ticker")), "companies_of_evidence")
-    return scripts.select("evidence_id", "document_key", "text").join(small(company, BROADCAST_KEYS), F.col("document_key") == F.col("_k"), "left").select("evidence_id", "text", F.col("_ticker").alias("ticker"))
+    return spread(scripts.select("evidence_id", "document_key", "text")).join(small(company, BROADCAST_KEYS), F.col("document_key") == F.col("_k"), "left").select("evidence_id", "text", F.col("_ticker").alias("ticker"))
 
 
 def trained(scripts: DataFrame, roster: Roster) -> SemiMarkov:
