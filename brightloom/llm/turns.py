@@ -159,19 +159,24 @@ class SemiMarkov:
         n = words[j] - words[i]
         return np.stack([n == 0, np.log1p(n), np.log1p(j - i - 1)], axis=1)
 
-    def lattice(self, x: np.ndarray, words: np.ndarray):
+    def spans(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(j, openings i before it, features of the segments from i to j), which don't depend on the weights."""
+        for j in range(1, len(words)):
+            i = np.arange(max(0, j - self.BAND), j)
+            yield j, i, self.segments(words, i, j)
+
+    def lattice(self, x: np.ndarray, spans):
         w, v = self.weights[: len(FEATURES)], self.weights[len(FEATURES) :]
         start = x @ w
-        for j in range(1, len(x) + 1):
-            i = np.arange(max(0, j - self.BAND), j)
-            yield j, i, start[i] + self.segments(words, i, j) @ v
+        for j, i, f in spans:
+            yield j, i, start[i[0] : j] + f @ v
 
     def decode(self, x: np.ndarray, words: np.ndarray) -> list[int]:
         """The openings of the best segmentation. Openings before the first chosen one are of no speaker and cost nothing."""
         n = len(x)
         best = np.zeros(n + 1)  # best[i]: of the first i openings; all skipped at first
         back = np.full(n + 1, -1)
-        for j, i, s in self.lattice(x, words):
+        for j, i, s in self.lattice(x, self.spans(words)):
             t = best[i] + s
             k = int(t.argmax())
             if t[k] > 0:
@@ -182,10 +187,11 @@ class SemiMarkov:
             j = int(back[j])
         return out[::-1]
 
-    def gradient(self, x: np.ndarray, words: np.ndarray, truth: list[int]) -> tuple[float, np.ndarray]:
+    def gradient(self, x: np.ndarray, words: np.ndarray, truth: list[int], spans: list | None = None) -> tuple[float, np.ndarray]:
         """Log likelihood of a segmentation and its gradient, by forward and backward sums."""
         n, f = len(x), len(FEATURES)
-        rows = list(self.lattice(x, words))
+        spans = list(self.spans(words)) if spans is None else spans
+        rows = list(self.lattice(x, spans))
         alpha = np.zeros(n + 1)  # alpha[i] includes the way that skips all
         for j, i, s in rows:
             t = np.append(alpha[i] + s, 0.0)
@@ -198,10 +204,12 @@ class SemiMarkov:
                 beta[i] = np.logaddexp(beta[i], s + beta[j])
         z = alpha[n]
         g = np.zeros(f + len(SEGMENT))
-        for j, i, s in rows:
+        opened = np.zeros(n)  # the chance that a segment opens at each
+        for (j, i, s), (_, _, seg) in zip(rows, spans):
             p = np.exp(np.clip(alpha[i] + s + beta[j] - z, -50, 0))
-            g[:f] -= p @ x[i]
-            g[f:] -= p @ self.segments(words, i, j)
+            opened[i] += p
+            g[f:] -= p @ seg
+        g[:f] -= opened @ x
         score = 0.0
         w, v = self.weights[:f], self.weights[f:]
         for a, b in zip(truth, [*truth[1:], n]):
@@ -215,11 +223,12 @@ class SemiMarkov:
         """Gradient steps with momentum, drawn to the default weights."""
         m, s = np.zeros_like(self.weights), np.zeros_like(self.weights)
         w = self.weights.copy()
+        known = [list(self.spans(words)) for _, words, _ in data]
         for r in range(1, rounds + 1):
             self.weights = w
             g = -prior * (w - DEFAULT)
-            for x, words, truth in data:
-                g = g + self.gradient(x, words, truth)[1] / max(1, len(truth)) / max(1, len(data))
+            for (x, words, truth), spans in zip(data, known):
+                g = g + self.gradient(x, words, truth, spans)[1] / max(1, len(truth)) / max(1, len(data))
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             w = w + 0.08 * (m / (1 - 0.9**r)) / (np.sqrt(s / (1 - 0.99**r)) + 1e-6)
         self.weights = w
