@@ -147,7 +147,7 @@ def features(doc: list[Unit], ticker: str | None, roster: Roster) -> tuple[np.nd
 class SemiMarkov:
     """A semi-Markov conditional model: the log score of a segmentation is the sum over its segments of w * start features + v * segment features."""
 
-    #: segments with more possible openings than this inside are put together from several of no speaker change; nothing is lost by it.
+    #: openings are gone through in blocks of so many. Decoding has segments of any length; fitting sums over those of at most so many openings, and over longer ones from true openings.
     BAND = 256
 
     def __init__(self, weights: np.ndarray = DEFAULT):
@@ -159,28 +159,53 @@ class SemiMarkov:
         n = words[j] - words[i]
         return np.stack([n == 0, np.log1p(n), np.log1p(j - i - 1)], axis=1)
 
-    def spans(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(j, openings i before it, features of the segments from i to j), which don't depend on the weights."""
+    def spans(self, words: np.ndarray, truth: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(j, openings i before it, features of the segments from i to j), which don't depend on the weights; i: the last BAND, and the true ones before."""
+        far = np.array(truth, int)
         for j in range(1, len(words)):
-            i = np.arange(max(0, j - self.BAND), j)
+            lo = max(0, j - self.BAND)
+            i = np.append(far[far < lo], np.arange(lo, j))
             yield j, i, self.segments(words, i, j)
 
     def lattice(self, x: np.ndarray, spans):
         w, v = self.weights[: len(FEATURES)], self.weights[len(FEATURES) :]
         start = x @ w
         for j, i, f in spans:
-            yield j, i, start[i[0] : j] + f @ v
+            yield j, i, start[i] + f @ v
 
     def decode(self, x: np.ndarray, words: np.ndarray) -> list[int]:
-        """The openings of the best segmentation. Openings before the first chosen one are of no speaker and cost nothing."""
-        n = len(x)
+        """The openings of the best segmentation, whose segments have any length. Openings before the first chosen one are of no speaker and cost nothing.
+
+        The nearest one or two blocks are tried opening by opening. Each segment feature falls or rises with i, so that its values at a block's ends
+        bound it: of the blocks before, only those are tried whose best start, with these bounds, could do better than what was found."""
+        n, size = len(x), self.BAND
+        v = self.weights[len(FEATURES) :]
+        start = x @ self.weights[: len(FEATURES)]
         best = np.zeros(n + 1)  # best[i]: of the first i openings; all skipped at first
         back = np.full(n + 1, -1)
-        for j, i, s in self.lattice(x, self.spans(words)):
-            t = best[i] + s
+        heads = np.arange(0, n, size)
+        top = np.zeros(len(heads))  # the best start of each block that is whole
+        for j in range(1, n + 1):
+            if j % size == 0:
+                top[j // size - 1] = (best[j - size : j] + start[j - size : j]).max()
+            whole = max(0, j - size) // size  # blocks before the nearest
+            i = np.arange(whole * size, j)
+            t = best[i] + (start[i] + self.segments(words, i, j) @ v)
             k = int(t.argmax())
-            if t[k] > 0:
-                best[j], back[j] = t[k], i[k]
+            score, at = t[k], int(i[k])
+            if whole:
+                ends = heads[:whole]
+                most = top[:whole] + np.maximum(self.segments(words, ends, j) * v, self.segments(words, ends + size - 1, j) * v).sum(axis=1)
+                for b in np.argsort(-most):
+                    if most[b] + 1e-9 < max(score, 0.0):
+                        break
+                    i = np.arange(b * size, (b + 1) * size)
+                    t = best[i] + (start[i] + self.segments(words, i, j) @ v)
+                    k = int(t.argmax())
+                    if t[k] > score or t[k] == score and i[k] < at:
+                        score, at = t[k], int(i[k])
+            if score > 0:
+                best[j], back[j] = score, at
         out, j = [], n
         while j > 0 and back[j] >= 0:
             out.append(int(back[j]))
@@ -190,7 +215,7 @@ class SemiMarkov:
     def gradient(self, x: np.ndarray, words: np.ndarray, truth: list[int], spans: list | None = None) -> tuple[float, np.ndarray]:
         """Log likelihood of a segmentation and its gradient, by forward and backward sums."""
         n, f = len(x), len(FEATURES)
-        spans = list(self.spans(words)) if spans is None else spans
+        spans = list(self.spans(words, truth)) if spans is None else spans
         rows = list(self.lattice(x, spans))
         alpha = np.zeros(n + 1)  # alpha[i] includes the way that skips all
         for j, i, s in rows:
@@ -223,7 +248,7 @@ class SemiMarkov:
         """Gradient steps with momentum, drawn to the default weights."""
         m, s = np.zeros_like(self.weights), np.zeros_like(self.weights)
         w = self.weights.copy()
-        known = [list(self.spans(words)) for _, words, _ in data]
+        known = [list(self.spans(words, truth)) for _, words, truth in data]
         for r in range(1, rounds + 1):
             self.weights = w
             g = -prior * (w - DEFAULT)

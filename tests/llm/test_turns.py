@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from brightloom.llm import turns
@@ -64,6 +65,32 @@ def test_blocks_without_words_are_dropped():
     assert of("") == of(None) == of("no speaker here") == of("  \n ") == []
 
 
+@pytest.mark.parametrize("n", [300, 2000])
+def test_long_turns_of_short_lines(n):
+    lines = [f"Line {k} is short." for k in range(n)]
+    text = "\n\n".join(["Operator: Welcome all.", "Dorrit Verulund: Thank you.", *lines, "Hesper Vethwen: Why did costs fall?", "CFO: Mix."])
+    assert of(text) == [(1, "Welcome all."), (10, " ".join(["Thank you.", *lines])), (30, "Why did costs fall?"), (11, "Mix.")]
+
+
+def test_decoding_is_the_best_of_all_segmentations():
+    rng = np.random.default_rng(5)
+    for n, far in ((700, 0), (1100, 300), (1100, 800)):
+        x = rng.normal(-1, 1, (n, len(turns.FEATURES)))
+        x[1 : far + 1, -1] = -30
+        words = np.append(0, np.cumsum(rng.integers(0, 3, n)))
+        m = turns.SemiMarkov(np.append(rng.normal(0, 1, len(turns.FEATURES)), rng.normal(0, 2, 3)))
+        m.weights[len(turns.FEATURES) - 1] = 1
+        start, best, back = x @ m.weights[: len(turns.FEATURES)], np.zeros(n + 1), np.full(n + 1, -1)
+        for j in range(1, n + 1):
+            t = best[:j] + start[:j] + m.segments(words, np.arange(j), j) @ m.weights[len(turns.FEATURES) :]
+            if t.max() > 0:
+                best[j], back[j] = t.max(), t.argmax()
+        want, j = [], n
+        while j > 0 and back[j] >= 0:
+            want, j = [int(back[j]), *want], int(back[j])
+        assert m.decode(x, words) == want
+
+
 def test_training_raises_the_likelihood():
     data = turns.training_rows([(t, "T") for t in LAYOUTS[1:5]], ROSTER)
     assert data
