@@ -33,6 +33,8 @@ from brightloom.session import map_rows, small, spread, stored
 MOST_TRAINING, LONGEST_TRAINING = 60, 200_000
 #: keys of evidence with their company up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_KEYS = 500_000
+#: the catalogue of fillers may have so many terms, which become one pattern.
+MOST_FILLERS = 10_000
 
 # Words of notes on sounds and by the transcriber; the marks that set a filler off.
 NOTE_WORDS = (
@@ -378,7 +380,9 @@ def roster_of(participants: DataFrame) -> Roster:
 
 
 def cleaner_of(fillers: DataFrame) -> Cleaner:
-    rows = fillers.where("term IS NOT NULL").select("term", "kind").limit(10_000).collect()
+    rows = fillers.where("term IS NOT NULL").select("term", "kind").limit(MOST_FILLERS + 1).collect()
+    if len(rows) > MOST_FILLERS:
+        raise ValueError(f"the catalogue has more than {MOST_FILLERS} fillers")
     return Cleaner([r[0] for r in rows if r[1] == "sound"], [r[0] for r in rows if r[1] == "phrase"])
 
 

@@ -123,3 +123,11 @@ def test_tables(spark):
     rows = {(r["record_kind"], r["record_id"]): r["speaker_id"] for r in turns.card_speakers(cards, roster).collect()}
     assert rows == {("speaker", 5): 10, ("speaker", 6): None, ("management_speaker", 6): 10}
     assert turns.speaker_turns(scripts.limit(0), roster, CLEAN, MODEL).count() == 0
+
+
+def test_too_many_fillers_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(turns, "MOST_FILLERS", 3, raising=False)
+    fillers = lambda n: spark.range(n).selectExpr("concat('um', id) AS term", "'sound' AS kind")
+    assert len(turns.cleaner_of(fillers(3)).sounds) == 3
+    with pytest.raises(ValueError):
+        turns.cleaner_of(fillers(4))
