@@ -2,8 +2,8 @@
 
 A transcript's lines are units; some could open a block, as they carry what may be a speaker's label. A semi-Markov
 conditional model scores whole segments, from one opening line to the next: how well its label
-resolves, how it is laid out and how the document's other labels are, the pause or blank line before it, whether the words before it ended, and
-how long the segment is. The best segmentation gives the blocks; time marks, notes on sounds, the transcriber's remarks
+resolves, how it is laid out and how the document's other labels are, the time since the time mark before it, a blank line before it, whether the
+words before it ended and come again after it, and how long the segment is. The best segmentation gives the blocks; time marks, notes on sounds, the transcriber's remarks
 and fillers are taken out as the words are put together again.
 
 The model is trained on transcripts whose time marks show where blocks open, and on the same transcripts with the marks
@@ -118,10 +118,33 @@ def units(text: str) -> list[Unit]:
 
 
 HOW = ["name", "near", "role", "firm", "operator", "none"]
-FEATURES = [*[f"layout_{x}" for x in LAYOUTS], *[f"how_{x}" for x in HOW], "timed", "blank", "support", "words", "long", "stop", "ended", "again", "bias"]
+FEATURES = [*[f"layout_{x}" for x in LAYOUTS], *[f"how_{x}" for x in HOW], "timed", "blank", "support", "words", "long", "stop", "ended", "again", "gap", "shared", "bias"]
 SEGMENT = ["no_words", "log_words", "log_lines"]
 #: default weights, in the order of FEATURES and SEGMENT.
-DEFAULT = np.array([1.0, 1.0, 0.0, -1.0, 4.0, 2.5, 3.0, 3.0, 4.0, -4.0, 2.0, 0.3, 2.0, -0.2, -1.0, -1.5, 0.5, 0.5, -0.5, -0.3, 0.0, 0.0])
+DEFAULT = np.array([1.0, 1.0, 0.0, -1.0, 4.0, 2.5, 3.0, 3.0, 4.0, -4.0, 2.0, 0.3, 2.0, -0.2, -1.0, -1.5, 0.5, 0.5, 0.0, 0.0, -0.5, -0.3, 0.0, 0.0])
+
+
+_LONG_WORD = re.compile(r"\w{4,}")
+
+
+def content(text: str) -> set[str]:
+    """The words of four letters or more, which tell what a line is about."""
+    return set(_LONG_WORD.findall(text.lower()))
+
+
+def shared_words(before: str, after: str) -> float:
+    """How many of the fewer content words of two lines are in both, as a share."""
+    a, b = content(before), content(after)
+    return len(a & b) / max(1, min(len(a), len(b)))
+
+
+def gaps(doc: list[Unit]) -> list[float]:
+    """Log seconds from the last time known before each unit to its own; 0 where either is unknown or time runs back."""
+    out, last = [], None
+    for u in doc:
+        out.append(0.0 if u.time is None or last is None else float(np.log1p(max(0.0, u.time - last))))
+        last = last if u.time is None else u.time
+    return out
 
 
 def features(doc: list[Unit], ticker: str | None, roster: Roster) -> tuple[np.ndarray, np.ndarray, list[tuple[int | None, str]]]:
@@ -135,14 +158,15 @@ def features(doc: list[Unit], ticker: str | None, roster: Roster) -> tuple[np.nd
         k = fold(doc[i].label)
         labels[k] = labels.get(k, 0) + 1
     total = max(1, sum(hits.values()))
-    x = np.zeros((len(at), len(FEATURES)))
+    x, gap = np.zeros((len(at), len(FEATURES))), gaps(doc)
     for r, (i, (_, how)) in enumerate(zip(at, who)):
         u = doc[i]
         x[r, LAYOUTS.index(u.layout)] = 1
         x[r, 4 + HOW.index(how)] = 1
         n = len(u.label.split())
         before = doc[i - 1].text.rstrip() if i else "."
-        x[r, 10:] = [u.time is not None, u.blank, hits[u.layout] / total, n / 4, n > 7, u.label.rstrip()[-1:] in ".!?,;", before[-1:] in ".!?\"”)]", labels[fold(u.label)] > 1, 1]
+        after = u.rest or (doc[i + 1].text if i + 1 < len(doc) else "")
+        x[r, 10:] = [u.time is not None, u.blank, hits[u.layout] / total, n / 4, n > 7, u.label.rstrip()[-1:] in ".!?,;", before[-1:] in ".!?\"”)]", labels[fold(u.label)] > 1, gap[i], shared_words(before, after), 1]
     return np.array(at, int), x, who
 
 
@@ -281,7 +305,7 @@ def training_rows(texts: list[tuple[str, str | None]], roster: Roster) -> list[t
         words = opening_words(doc, at)
         data.append((x, words, sure))
         bare = x.copy()
-        bare[:, FEATURES.index("timed")] = 0
+        bare[:, [FEATURES.index("timed"), FEATURES.index("gap")]] = 0
         for layout in ("voice", "arrow"):  # as if they were headings or labels with a colon
             k = bare[:, LAYOUTS.index(layout)] == 1
             bare[k, LAYOUTS.index(layout)] = 0

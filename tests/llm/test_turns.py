@@ -91,6 +91,15 @@ def test_decoding_is_the_best_of_all_segmentations():
         assert m.decode(x, words) == want
 
 
+def test_pauses_and_shared_words_are_features():
+    doc = turns.units("[00:00:01] Operator: Welcome to the quarterly call.\n[00:00:31] CFO: Quarterly margins rose.\nCEO: Mix.\n[00:00:20] Operator: Bye.")
+    x = turns.features(doc, "T", ROSTER)[1]
+    assert x[:, turns.FEATURES.index("gap")].round(3).tolist() == [0, 3.434, 0, 0]
+    assert x[:, turns.FEATURES.index("shared")].round(3).tolist() == [0, 0.333, 0, 0]
+    bare = turns.training_rows([(LAYOUTS[2], "T")], ROSTER)[1][0]
+    assert not bare[:, turns.FEATURES.index("gap")].any()
+
+
 def test_training_raises_the_likelihood():
     data = turns.training_rows([(t, "T") for t in LAYOUTS[1:5]], ROSTER)
     assert data
