@@ -58,8 +58,10 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream: sessions that the watermark has closed."""
-    return state.run_to_end(state.sessions(_stream(spark, sf_dir, "events"), "ts", "user_id"), "sessions")
+    """The same as a stream, over the whole table: the open sessions too, as the last batch's state has them; that state keeps closed ones as well."""
+    rows = state.run_to_end(state.sessions(_stream(spark, sf_dir, "events"), "ts", "user_id"), "sessions", "complete")
+    last = rows.agg(F.max("_batch")).first()[0]
+    return rows.where(F.col("_batch") == F.lit(last)).drop("_batch")
 
 
 @query()
