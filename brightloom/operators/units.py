@@ -5,17 +5,17 @@ mapped to units through an inverted index of character n-grams that proposes voc
 distance that verifies them; the resulting alias dictionary is joined to all rows. Arithmetic is exact decimal.
 
 Defined cases: null, empty or unreadable columns give no quantity; a spelling that fits no unit of the metric's kind,
-or two different units equally well, has no alias, and its row has no value; values beyond 38 digits give null;
+or two different units equally well, has no alias, and its row has no value; values beyond 30 whole digits give null, and those beyond a BIGINT no row;
 an unknown or blank metric drops the row; repeated rows each come out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal, InvalidOperation, localcontext
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.operators import quantity_text as qt
@@ -201,6 +201,27 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
     return best.where(clear).select("kind", "spelling", F.col("fits")[0]["num"].alias("num"), F.col("fits")[0]["den"].alias("den"))
 
 
+#: numbers that a DECIMAL(22,8) holds exactly, and built-in arithmetic with it; others go through Python.
+SHORT = r"^-?\d{1,14}(\.\d{1,8})?$"
+
+
+def exact_value(number: str, num: int, den: int) -> Decimal | None:
+    """number * num / den, rounded half away from zero; None beyond 30 whole digits."""
+    d = Decimal(number)
+    if not d.is_finite() or d.adjusted() > 40:
+        return None
+    with localcontext(prec=len(number) + 60):
+        whole, rest = divmod(abs(d) * num, den)
+        whole += 2 * rest >= den
+        return (-whole if d < 0 else whole) if whole < 10**30 else None
+
+
+@arrow("decimal(38,8)")
+def _exact(number: pd.Series, num: pd.Series, den: pd.Series) -> pd.Series:
+    out = [exact_value(s, int(n), int(d)) if isinstance(s, str) and n == n and n is not None else None for s, n, d in zip(number, num, den)]
+    return pd.Series(out, dtype="object")
+
+
 def normalise(cards: DataFrame, catalog: DataFrame, key: str = "card_seq") -> DataFrame:
     """(key, common_unit, common_value, stated): every card's current quantity in the common unit of its metric.
 
@@ -211,13 +232,16 @@ def normalise(cards: DataFrame, catalog: DataFrame, key: str = "card_seq") -> Da
     aliases = stored(alias_dictionary(asked), "unit_aliases")
     n = aliases.count()
 
-    def valued(df: DataFrame, side: str) -> DataFrame:
-        a = small(aliases.select(F.col("kind"), F.col("spelling").alias(f"{side}_unit"), F.col("num").alias("_n"), F.col("den").alias("_d")), BROADCAST_ALIASES, n)
-        number = F.expr(f"try_cast({side}_number AS DECIMAL(22,8))")
-        exact = F.expr("try_divide(_x * CAST(_n AS DECIMAL(15,0)), CAST(_d AS DECIMAL(9,0)))")
-        return df.join(a, ["kind", f"{side}_unit"], "left").withColumn("_x", number).withColumn(f"{side}_value", exact).drop("_n", "_d", "_x")
+    def joined(df: DataFrame, side: str) -> DataFrame:
+        a = small(aliases.select(F.col("kind"), F.col("spelling").alias(f"{side}_unit"), F.col("num").alias(f"{side}_n"), F.col("den").alias(f"{side}_d")), BROADCAST_ALIASES, n)
+        return df.join(a, ["kind", f"{side}_unit"], "left")
+
+    def valued(side: str) -> Column:
+        number, num, den = (F.col(f"{side}_{x}") for x in ("number", "n", "d"))
+        short = F.expr(f"try_divide(try_cast({side}_number AS DECIMAL(22,8)) * CAST({side}_n AS DECIMAL(15,0)), CAST({side}_d AS DECIMAL(9,0)))")
+        return F.when(number.rlike(SHORT), short).otherwise(_exact(F.when(~number.rlike(SHORT), number), num, den))
 
-    both = valued(valued(read, "col"), "quote")
+    both = joined(joined(read, "col"), "quote").withColumns({"col_value": valued("col"), "quote_value": valued("quote")})
     value = F.round(F.coalesce("quote_value", "col_value"), 0).try_cast("long")
     said = (F.col("value_num").isNotNull()) & (F.col("unit") == F.col("common_unit"))
     out = both.select(F.col("_key").alias(key), "common_unit", value.alias("common_value"), F.coalesce(said & (F.round("col_value", 0).try_cast("long") == value), F.lit(False)).alias("stated"), "quote_value", "col_value")

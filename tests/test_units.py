@@ -47,6 +47,14 @@ def test_half_away_from_zero(spark):
     assert (got[1]["common_value"], got[2]["common_value"]) == (13, -13)
 
 
+def test_long_numbers_are_exact(spark):
+    got = run(spark, [
+        (1, "Net revenue", 1e15, None, "USD", None), (2, "Net revenue", None, "-9,223,372,036,854,775,807", "USD", None), (3, "Net revenue", None, "1.2345678905", "$B", None),
+        (4, "Net revenue", None, "9,223,372,036,854,775,808", "USD", None), (5, "Net revenue", None, "0.0000000004999999999", "$B", None), (6, "Net revenue", None, "9" * 5000, "USD", None), (7, "Copper purchased", None, "2,000,000,000,000,000,000,500", "g", None),
+    ])
+    assert {k: r["common_value"] for k, r in got.items()} == {1: 10**15, 2: -(2**63 - 1), 3: 1_234_567_891, 5: 0, 7: 2 * 10**18 + 1}
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
