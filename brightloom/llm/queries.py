@@ -78,7 +78,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_documents(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    machine = offence.train_on(spark, *offence.labelled(documents, table(spark, sf_dir, "content_labels")))
+    machine = offence.train_on(offence.hashed(offence.labelled(documents, table(spark, sf_dir, "content_labels"))))
     return offence.score(documents, machine, list(keep))
 
 
