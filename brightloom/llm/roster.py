@@ -27,9 +27,14 @@ _ROLE_OF = {re.sub(r"[\W_]+", " ", a).strip(): r for r, names in ROLES.items() f
 _SPLIT = re.compile(r"\s+[–—-]{1,2}\s+|\s*[()\[\]]\s*")
 
 
+#: labels longer than this are resolved anew each time.
+LONGEST_REMEMBERED = 200
+
+
 def fold(label: str) -> str:
-    s = unicodedata.normalize("NFKC", label).casefold()
-    s = "".join(c for c in s if unicodedata.category(c) != "Cf")
+    s = label.casefold() if label.isascii() else unicodedata.normalize("NFKC", label).casefold()
+    if not s.isascii():
+        s = "".join(c for c in s if unicodedata.category(c) != "Cf")
     return re.sub(r"\s+", " ", s).strip(" :;")
 
 
@@ -79,6 +84,14 @@ class Roster:
         for e in self.outside:
             if e[1]:
                 self.last_outside.setdefault(e[1][-1], []).append(e)
+        self.near_outside: dict[str, list[tuple[int, list[tuple[int, list[str], str]]]]] = {}
+        known = [len(e[1]) for es in (*self.by_ticker.values(), self.outside) for e in es] + [len(x.split()) for x in (*self.firms, *_ROLE_OF, *OPERATORS)]
+        self.longest = max(known) + 3  # a role of up to three words may stand before a name
+
+    def may_name(self, line: str) -> bool:
+        """Whether what stands before a line's first separator is no longer than any name, firm or role, so that the line could be a label."""
+        first = _SPLIT.split(line.strip(), maxsplit=1)[0] if len(line) > 60 else line
+        return len(first.split(None, self.longest)) <= self.longest
 
     def resolve(self, ticker: str | None, label: str | None) -> tuple[int | None, str]:
         """(speaker_id or None, how: name, near, role, firm, operator or none)."""
@@ -86,6 +99,8 @@ class Roster:
             return None, "none"
         ticker = ticker if isinstance(ticker, str) else None
         key = (ticker, label)
+        if len(label) > LONGEST_REMEMBERED:
+            return self._resolve(ticker, fold(label))
         if key not in self.memory:
             if len(self.memory) > 500_000:
                 self.memory.clear()
@@ -93,7 +108,7 @@ class Roster:
         return self.memory[key]
 
     def _resolve(self, ticker: str | None, label: str) -> tuple[int | None, str]:
-        if not label or len(label) > 120:
+        if not label:
             return None, "none"
         plain = re.sub(r"[\W_]+", " ", label).strip()
         if plain in OPERATORS:
@@ -135,8 +150,10 @@ class Roster:
             last, _, first = part.partition(",")
             part = f"{first} {last}"
         words = re.sub(r"[^\w'-]+", " ", part).split()
-        if not words or len(words) > 4 or any(c.isdigit() for c in part):
+        if not words or any(c.isdigit() for c in part):
             return set(), "near"
+        if len(words) > 4:  # all of a long name's words must be there
+            return {e[0] for e in [*company, *self.last_outside.get(words[-1], [])] if e[1] == words}, "name"
         first, last = (words[0] if len(words) > 1 else ""), words[-1]
         fits = lambda e: not first or (e[1][0] == first if len(first) > 1 else e[1][0][:1] == first)
         exact = {e[0] for e in company if e[1] and e[1][-1] == last and fits(e)} or {e[0] for e in self.last_outside.get(last, []) if fits(e)}
@@ -144,13 +161,8 @@ class Roster:
             return exact, "name"
         # the closest of all candidates, if it is clearly closer than the next one
         scores = []
-        for e in [*company, *self.outside]:
-            if not e[1]:
-                continue
+        for d, e in [*self._close(last, company), *((d, e) for d, es in self._outside_close(last) for e in es)]:
             most = max(1, min(3, len(e[1][-1]) // 3))
-            d = distance(last, e[1][-1], most)
-            if d > most:
-                continue
             if len(first) > 1:
                 f = distance(first, e[1][0], 2)
                 if f > 2 or d + f > most + 1:
@@ -163,3 +175,23 @@ class Roster:
         if scores and (len(scores) == 1 or scores[1][0] > scores[0][0]):
             return {scores[0][1]}, "near"
         return set(), "near"
+
+    @staticmethod
+    def _close(last: str, entries: list) -> list:
+        """(distance, entry) of the entries whose last name is near enough."""
+        out = []
+        for e in entries:
+            if e[1]:
+                most = max(1, min(3, len(e[1][-1]) // 3))
+                if (d := distance(last, e[1][-1], most)) <= most:
+                    out.append((d, e))
+        return out
+
+    def _outside_close(self, last: str) -> list:
+        """The same of those who may speak on any company's call, once for each distinct last name, and remembered."""
+        if last not in self.near_outside:
+            if len(self.near_outside) > 100_000:
+                self.near_outside.clear()
+            close = self._close(last, [es[0] for es in self.last_outside.values()])
+            self.near_outside[last] = [(d, self.last_outside[e[1][-1]]) for d, e in close]
+        return self.near_outside[last]

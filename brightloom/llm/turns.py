@@ -11,7 +11,7 @@ taken away, so that it also reads layouts without any.
 
 Defined cases: null, empty and blank texts, and texts without a speaker, give no turn; text before the first speaker is no turn;
 a speaker who is on no roster has a null speaker_id, and its blocks are one speaker's if their labels are equal; without a
-trained model the default weights hold; texts of any length are read whole; empty tables give empty results.
+trained model the default weights hold; texts, labels and notes of any length are read whole; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from brightloom.session import map_rows, small, spread, stored
 MOST_TRAINING, LONGEST_TRAINING = 60, 200_000
 #: keys of evidence with their company up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_KEYS = 500_000
+#: distinct labels of companies up to which their dictionary is broadcast; beyond, the join shuffles.
+BROADCAST_LABELS = 500_000
 #: the catalogue of fillers may have so many terms, which become one pattern.
 MOST_FILLERS = 10_000
 
@@ -51,13 +53,12 @@ _TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _CUE = re.compile(rf"^\s*({_TIME})\s*-->\s*{_TIME}")
 _ONLY_TIME = re.compile(rf"^\s*[\[(]?\s*({_TIME})\s*[\])]?\s*$")
-_FORMS = [  # how a label may stand on a line: name, pattern, groups of time, label and text
-    ("voice", re.compile(r"^\s*<v(?:\.[^\s>]+)?\s+([^>]{1,120})>(.*?)(?:</v>)?\s*$", re.S), (None, 1, 2)),
-    ("arrow", re.compile(rf"^\s*[\[(]?({_TIME})[\])]?\s+(.{{1,120}}?)\s*>>\s*(.*)$", re.S), (1, 2, 3)),
-    ("arrow", re.compile(r"^\s*([^<>]{1,120}?)\s*>>\s*(.*)$", re.S), (None, 1, 2)),
-    ("colon", re.compile(rf"^\s*[\[(]\s*({_TIME})\s*[\])]\s*([^:\[\]{{}}<>]{{1,120}}?)\s*:(?=\s|$)\s*(.*)$", re.S), (1, 2, 3)),
-    ("colon", re.compile(r"^\s*([^:\[\]{}<>]{1,120}?)\s*:(?=\s|$)\s*(.*)$", re.S), (None, 1, 2)),
-]
+_VOICE = re.compile(r"^\s*<v(?:\.[^\s>]+)?\s+([^>]+)>(.*?)(?:</v>)?\s*$", re.S)
+_STAMPED = re.compile(rf"^\s*[\[(]?({_TIME})[\])]?\s+(?=\S)")  # before a label with an arrow
+_BRACKETED = re.compile(rf"^\s*[\[(]\s*({_TIME})\s*[\])]\s*")  # before a label with a colon
+_NO_LABEL = re.compile(r"[\[\]{}<>]")
+#: a line of no more characters and words than these may be a heading whatever it says; a longer one if it names someone on the roster.
+SHORT_HEADING = (120, 12)
 LAYOUTS = ["voice", "arrow", "colon", "head"]
 
 
@@ -68,6 +69,25 @@ def seconds(mark: str) -> float:
     return out
 
 
+def labelled_line(line: str) -> tuple[str, float | None, str, str] | None:
+    """(layout, time, label, text) of a line that begins with what may be a label: a voice tag, a label before an arrow, or one before a colon."""
+    if "<v" in line and (m := _VOICE.match(line)):
+        return "voice", None, m[1], m[2]
+    if (i := line.find(">>")) > 0:
+        t = _STAMPED.match(line[:i])
+        label = line[t.end() if t else 0 : i].strip()
+        if label and (t or not ("<" in label or ">" in label)):
+            return "arrow", seconds(t[1]) if t else None, label, line[i + 2 :].strip()
+    t = _BRACKETED.match(line)
+    start = t.end() if t else 0
+    i = line.find(":", start)
+    if i > 0 and (i + 1 == len(line) or line[i + 1].isspace()):
+        label = line[start:i].strip()
+        if label and not _NO_LABEL.search(label):
+            return "colon", seconds(t[1]) if t else None, label, line[i + 1 :].strip()
+    return None
+
+
 @dataclass
 class Unit:
     """A line: what might be its label, and what it says without it."""
@@ -103,15 +123,11 @@ def units(text: str) -> list[Unit]:
                 cue = seconds(m[1])
             continue
         u = Unit(line, time=cue, blank=blank)
-        for name, pattern, (t, label, rest) in _FORMS:
-            if m := pattern.match(line):
-                u.layout, u.label, u.rest = name, m[label], m[rest]
-                if t:
-                    u.time = seconds(m[t])
-                break
-        else:
-            if len(line) <= 120 and len(line.split()) <= 12:
-                u.layout, u.label, u.rest = "head", line, ""
+        if found := labelled_line(line):
+            u.layout, at, u.label, u.rest = found
+            u.time = u.time if at is None else at
+        elif len(line) <= SHORT_HEADING[0] and len(line.split()) <= SHORT_HEADING[1]:
+            u.layout, u.label, u.rest = "head", line, ""
         out.append(u)
         blank, cue = False, None
     return out
@@ -149,6 +165,9 @@ def gaps(doc: list[Unit]) -> list[float]:
 
 def features(doc: list[Unit], ticker: str | None, roster: Roster) -> tuple[np.ndarray, np.ndarray, list[tuple[int | None, str]]]:
     """Indices of the units that may open a segment, their features, and how their labels resolve."""
+    for u in doc:
+        if u.layout is None and roster.may_name(u.text) and roster.resolve(ticker, u.text)[1] != "none":
+            u.layout, u.label, u.rest = "head", u.text, ""
     at = [i for i, u in enumerate(doc) if u.layout]
     who = [roster.resolve(ticker, doc[i].label) for i in at]
     hits = {x: 0 for x in LAYOUTS}
@@ -166,7 +185,7 @@ def features(doc: list[Unit], ticker: str | None, roster: Roster) -> tuple[np.nd
         n = len(u.label.split())
         before = doc[i - 1].text.rstrip() if i else "."
         after = u.rest or (doc[i + 1].text if i + 1 < len(doc) else "")
-        x[r, 10:] = [u.time is not None, u.blank, hits[u.layout] / total, n / 4, n > 7, u.label.rstrip()[-1:] in ".!?,;", before[-1:] in ".!?\"”)]", labels[fold(u.label)] > 1, gap[i], shared_words(before, after), 1]
+        x[r, 10:] = [u.time is not None, u.blank, hits[u.layout] / total, min(n, 24) / 4, n > 7, u.label.rstrip()[-1:] in ".!?,;", before[-1:] in ".!?\"”)]", labels[fold(u.label)] > 1, gap[i], shared_words(before, after), 1]
     return np.array(at, int), x, who
 
 
@@ -314,8 +333,8 @@ def training_rows(texts: list[tuple[str, str | None]], roster: Roster) -> list[t
     return data
 
 
-_IN = r"([^()\[\]{}<>*]{0,80})"
-_BRACKET = re.compile(rf"\(\({_IN}\)\)|\({_IN}\)|\[{_IN}\]|\{{{_IN}\}}|<{_IN}>|\*([^*\n()\[\]{{}}<>]{{1,40}})\*")
+_IN = r"([^()\[\]{}<>*]*)"
+_BRACKET = re.compile(rf"\(\({_IN}\)\)|\({_IN}\)|\[{_IN}\]|\{{{_IN}\}}|<{_IN}>|\*([^*\n()\[\]{{}}<>]+)\*")
 _TIME_MARK = re.compile(rf"[\[(<]\s*{_TIME}\s*[\])>]")
 
 
@@ -345,10 +364,7 @@ class Cleaner:
         """The words of a block without notes, marks of time and fillers."""
         if any(c in text for c in "([{<*♪"):
             text = _TIME_MARK.sub(" ", text)
-            for _ in range(3):  # a note may stand within brackets
-                new = _BRACKET.sub(_note, text)
-                if new == text:
-                    break
+            while (new := _BRACKET.sub(_note, text)) != text:  # a note may stand within brackets
                 text = new
             text = text.replace("♪", " ").replace("♫", " ")
         text = text.strip()
@@ -416,15 +432,16 @@ def with_company(evidence: DataFrame, disclosures: DataFrame) -> DataFrame:
     keys = scripts.select(F.col("document_key").alias("_k")).where("_k IS NOT NULL").distinct()
     named = disclosures.where("ticker IS NOT NULL").select(F.concat_ws(":", "source", "source_id").alias("_k"), F.col("ticker").alias("_ticker"))
     company = stored(named.join(keys, "_k", "left_semi").groupBy("_k").agg(F.min("_ticker").alias("_ticker")), "companies_of_evidence")
-    return spread(scripts.select("evidence_id", "document_key", "text")).join(small(company, BROADCAST_KEYS), F.col("document_key") == F.col("_k"), "left").select("evidence_id", "text", F.col("_ticker").alias("ticker"))
+    key = F.coalesce("document_key", F.concat(F.lit("\u0000"), F.col("evidence_id").cast("string")))  # texts without a key meet no company, and not in one task
+    return spread(scripts.select("evidence_id", "document_key", "text")).withColumn("_k", key).join(small(company, BROADCAST_KEYS), "_k", "left").select("evidence_id", "text", F.col("_ticker").alias("ticker"))
 
 
 def trained(scripts: DataFrame, roster: Roster) -> SemiMarkov:
     """The model fitted on a bounded sample of transcripts."""
     fit = scripts.where(F.length("text") <= LONGEST_TRAINING)
     picked = fit.select("evidence_id").distinct().orderBy(F.xxhash64("evidence_id"), "evidence_id").limit(MOST_TRAINING)
-    rows = fit.join(F.broadcast(picked), "evidence_id").select("text", "ticker", "evidence_id").limit(2 * MOST_TRAINING).collect()
-    data = training_rows([(r["text"], r["ticker"]) for r in sorted(rows, key=lambda r: (r["evidence_id"], r["text"]))], roster)
+    rows = fit.join(F.broadcast(picked), "evidence_id").groupBy("evidence_id").agg(F.min(F.struct("text", "ticker")).alias("r")).select("evidence_id", "r.*").collect()  # at most MOST_TRAINING
+    data = training_rows([(r["text"], r["ticker"]) for r in sorted(rows, key=lambda r: r["evidence_id"])], roster)
     return SemiMarkov().fit(data) if data else SemiMarkov()
 
 
@@ -449,15 +466,19 @@ def speaker_turns(scripts: DataFrame, roster: Roster, cleaner: Cleaner, model: S
 
 
 def card_speakers(cards: DataFrame, roster: Roster) -> DataFrame:
-    """(record_kind, record_id, speaker_id) of every non-null label in the cards' speaker and management_speaker."""
-    shared = cards.sparkSession.sparkContext.broadcast(roster)
+    """(record_kind, record_id, speaker_id) of every non-null label in the cards' speaker and management_speaker.
+
+    Distinct labels of a company are resolved once, and the dictionary is joined to the cards."""
+    shared = cards.sparkSession.sparkContext.broadcast(roster)  # its size is checked
     pair = lambda c: F.struct(F.lit(c).alias("record_kind"), F.col(c).alias("label"))
-    rows = cards.select(F.col("card_seq").alias("record_id"), "ticker", F.explode(F.array(pair("speaker"), pair("management_speaker"))).alias("p")).select("record_id", "ticker", "p.*").where("label IS NOT NULL")
+    rows = cards.select(F.col("card_seq").alias("record_id"), "ticker", F.explode(F.array(pair("speaker"), pair("management_speaker"))).alias("p")).select("record_id", F.coalesce("ticker", F.lit("")).alias("_t"), "p.*").where("label IS NOT NULL")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         people = shared.value
         for pdf in parts:
-            ids = [people.resolve(t, x)[0] for t, x in zip(pdf["ticker"], pdf["label"])]
-            yield pd.DataFrame({"record_kind": pdf["record_kind"], "record_id": pdf["record_id"], "speaker_id": pd.array(ids, dtype="Int64")})
+            ids = [people.resolve(t, x)[0] for t, x in zip(pdf["_t"], pdf["label"])]
+            yield pd.DataFrame({"_t": pdf["_t"], "label": pdf["label"], "speaker_id": pd.array(ids, dtype="Int64")})
 
-    return map_rows(rows, ["record_kind", "record_id"], [F.col("ticker"), F.col("label")], run, "speaker_id long")
+    distinct = rows.select("_t", "label").distinct()
+    known = stored(distinct.mapInPandas(run, "_t string, label string, speaker_id long"), "labels")
+    return rows.join(small(known, BROADCAST_LABELS), ["_t", "label"], "left").select("record_kind", "record_id", "speaker_id")

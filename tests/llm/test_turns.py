@@ -6,7 +6,7 @@ from brightloom.llm.roster import Roster, distance
 
 PEOPLE = [
     (1, None, "Operator", "Operator", None), (10, "T", "Dorrit Verulund", "Chief Executive Officer", "Talco"), (11, "T", "Joss Ostentris", "Chief Financial Officer", "Talco"),
-    (20, "U", "Rask Verulmont", "Chief Executive Officer", "Umco"), (30, None, "Hesper Vethwen", "Analyst", "Orane & Co."), (31, None, "Anselm Brildane", "Analyst", "Pelav Research"),
+    (20, "U", "Rask Verulmont", "Chief Executive Officer", "Umco"), (30, None, "Hesper Vethwen", "Analyst", "Orane & Co."), (31, None, "Anselm Brildane", "Analyst", "Pelav Research"), (32, None, "Maria del Carmen de la Vega Ruiz", "Analyst", "Orane & Co."),
 ]
 ROSTER = Roster(PEOPLE)
 CLEAN = turns.Cleaner(["um", "uh", "uhm", "er", "erm", "ah", "hmm"], ["you know", "I mean", "sort of", "kind of"])
@@ -15,8 +15,8 @@ MODEL = turns.SemiMarkov()
 
 @pytest.mark.parametrize("label,who", [
     ("Dorrit Verulund", 10), ("VERULUND,  DORRIT", 10), ("D. Verulund", 10), ("Verulund", 10), ("Dorit Verulnud", 10), ("CEO", 10), ("ceo Verulund", 10), ("Chief Financial Officer", 11),
-    ("Joss\xa0Ostentris – Chief Financial Officer", 11), ("Ostentris, Joss (CFO)", 11), ("Analyst - Orane & Co.", 30), ("Orane & Co. - Hesper Vethwen", 30), ("Hesper Vethwen (Orane & Co.)", 30),
-    ("Conference Operator", 1), ("moderator", 1), ("Two points", None), ("Guidance", None), ("", None), (None, None), ("x" * 500, None), ("COO", None), ("Analyst", None), ("The next question is from Anselm (07:09) Brildane.", None),
+    ("Joss\xa0Ostentris – Chief Financial Officer", 11), ("Ostentris, Joss (CFO)", 11), ("Analyst - Pelav Research", 31), ("Orane & Co. - Hesper Vethwen", 30), ("Hesper Vethwen (Orane & Co.)", 30),
+    ("Conference Operator", 1), ("moderator", 1), ("Two points", None), ("Guidance", None), ("", None), (None, None), ("x" * 500, None), ("COO", None), ("Analyst", None), ("Dorrit Verulund (" + "Chief Executive Officer and Chair of the Board of Directors, " * 5 + ")", 10), ("Maria del Carmen de la Vega Ruiz", 32), ("Ruiz, Maria del Carmen de la Vega", 32), ("Maria del Carmen de la Vega", None), ("The next question is from Anselm (07:09) Brildane.", None),
 ])
 def test_labels(label, who):
     assert ROSTER.resolve("T", label)[0] == who
@@ -37,7 +37,7 @@ def of(text):
 SAID = [(1, "Welcome all."), (10, "Thank you. Sales rose. Two points: costs fell."), (30, "Why did costs fall?"), (11, "Mix.")]
 LAYOUTS = [
     "Edited: not a turn\n\nOperator: Welcome all.\n\nDorrit Verulund: Thank you.\n\nDorrit Verulund (CEO): Sales rose.\n\nTwo points: costs fell.\n\nHesper Vethwen: Why did costs fall?\n\nCFO: Mix.",
-    "[00:00:01] Operator: Welcome all.\n\n[00:00:05] Verulund: Thank you. Sales rose.\n\nTwo points: costs fell.\n\n[00:01:05] CFO: Mix.\n\n[00:00:50] Analyst - Orane & Co.: Why did costs fall?",
+    "[00:00:01] Operator: Welcome all.\n\n[00:00:05] Verulund: Thank you. Sales rose.\n\nTwo points: costs fell.\n\n[00:01:05] CFO: Mix.\n\n[00:00:50] Analyst - Hesper Vethwen: Why did costs fall?",
     "00:00:01 OPERATOR >> Welcome all.\n00:00:03 DORRIT VERULUND >> Thank you.\n00:00:04 D. VERULUND >> Sales rose. Two points: costs fell.\n00:00:05 VETHWEN, HESPER >> Why did costs fall?\n00:00:06 JOSS OSTENTRIS >> Mix.",
     "WEBVTT\r\n\r\n1\r\n00:00:01.000 --> 00:00:02.000\r\n<v Operator>Welcome all.\r\n\r\n2\r\n00:00:03.000 --> 00:00:04.000\r\n<v Dorrit Verulund>Thank you. Sales rose.\r\n\r\n3\r\n00:00:05.000 --> 00:00:06.000\r\n<v CEO>Two points: costs fell.\r\n\r\n4\r\n00:00:09.000 --> 00:00:10.000\r\n<v CFO>Mix.\r\n\r\n5\r\n00:00:07.000 --> 00:00:08.000\r\n<v Vethwen>Why did costs fall?",
     "OPERATOR\n(00:00:01)\nWelcome all.\n\nDorrit Verulund\n(00:00:02)\nThank you. Sales rose.\n\nTwo points: costs fell.\n\nHesper Vethwen (Orane & Co.)\n(00:00:04)\nWhy did costs fall?\n\nCFO\n(00:00:09)\nMix.",
@@ -65,6 +65,35 @@ def test_blocks_without_words_are_dropped():
     assert of("") == of(None) == of("no speaker here") == of("  \n ") == []
 
 
+def test_long_labels_and_headings():
+    role = "Chief Executive Officer and Chair of the Board of Directors of all of the companies of the group, " * 3
+    assert len(role) > 280
+    for layout in (f"Operator: Welcome all.\n\nDorrit Verulund ({role}): Thank you. Sales rose.\n\nOperator: Bye.", f"Operator\n\nWelcome all.\n\nDorrit Verulund ({role})\n\nThank you. Sales rose.\n\nOperator\n\nBye.",
+                   f"00:00:01 OPERATOR >> Welcome all.\n00:00:03 DORRIT VERULUND ({role.upper()}) >> Thank you. Sales rose.\n00:00:09 OPERATOR >> Bye."):
+        assert of(layout) == [(1, "Welcome all."), (10, "Thank you. Sales rose."), (1, "Bye.")]
+    said = "We saw in this quarter, as in the one before, what customers of all kinds and sizes everywhere had told us they would do next: they bought."
+    assert of(f"Operator: Welcome all.\n\nDorrit Verulund: {said}\n\n{said}\n\nOperator: Bye.") == [(1, "Welcome all."), (10, f"{said} {said}"), (1, "Bye.")]
+
+
+def test_long_notes():
+    note = "background music and applause " * 20
+    assert len(note) > 500
+    for a, b in ("()", "[]", "{}", "<>", "**", ("((", "))")):
+        assert CLEAN.clean(f"It rose {a}{note}{b} again") == "It rose again"
+    deep = "[laughter " * 12 + "]" * 12
+    assert CLEAN.clean(f"It rose {deep} again") == "It rose again"
+    kept = "(" + "excluding the effects of currency " * 20 + ")"
+    assert turns.count_words(CLEAN.clean(f"It rose {kept} again")) == 3 + 5 * 20
+    assert CLEAN.clean("(" * 20_000 + "x").endswith("x")
+
+
+def test_no_word_is_lost_of_very_many_lines():
+    lines = [f"Line {k} is short" + (" [applause]" if k % 7 == 0 else "") for k in range(100_000)]
+    text = "\n".join(["Operator: Welcome all.", "Dorrit Verulund: Thank you.", *lines, "", "Operator: Bye."])
+    got = of(text)
+    assert [s for s, _ in got] == [1, 10, 1] and turns.count_words(got[1][1]) == 2 + 4 * 100_000
+
+
 @pytest.mark.parametrize("n", [300, 2000])
 def test_long_turns_of_short_lines(n):
     lines = [f"Line {k} is short." for k in range(n)]
