@@ -76,10 +76,9 @@ def landmarks(codes: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def boundaries(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Positions at which a piece may end: after a paragraph, after a line or sentence, after any white space or mark; and the longest run without such a character."""
+def boundaries(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions at which a piece may end: after a paragraph, after a line or sentence, after any white space or mark."""
     soft, strong, top = [], [], []
-    longest, last = 0, 0
     n = len(codes)
     for lo in range(0, n, _BLOCK):
         hi = min(n, lo + _BLOCK)
@@ -89,16 +88,11 @@ def boundaries(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, i
         after = np.append(white[1:], True)[: hi - lo]
         white, end, line, wide = white[: hi - lo], end[: hi - lo], line[: hi - lo], wide[: hi - lo]
         before = np.concatenate([[codes[lo - 1] in _LINE if lo else False], line[:-1]])
-        any_ = np.nonzero(white | end)[0] + lo + 1
-        if len(any_):
-            longest = max(longest, int(any_[0] - 1 - last), int(np.diff(any_).max(initial=1) - 1))
-            last = int(any_[-1])
-        soft.append(any_)
+        soft.append(np.nonzero(white | end)[0] + lo + 1)
         strong.append(np.nonzero(line | wide | (end & after))[0] + lo + 1)
         top.append(np.nonzero(line & before)[0] + lo + 1)
-    longest = max(longest, n - last)
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(top), join(strong), join(soft), longest
+    return join(top), join(strong), join(soft)
 
 
 def _nearest(at: np.ndarray, lo: int, hi: int, aim: int) -> int | None:
@@ -111,13 +105,13 @@ def _nearest(at: np.ndarray, lo: int, hi: int, aim: int) -> int | None:
     return min(best, key=lambda p: abs(p - aim))
 
 
-def cut(text: str, rule: Rule = Rule()) -> tuple[list[tuple[int, int]], list[bool], int]:
-    """(start, end) of each piece, whether it was cut hard, and the longest run without white space or a closing mark."""
+def cut(text: str, rule: Rule = Rule()) -> tuple[list[tuple[int, int]], list[bool], list[int]]:
+    """(start, end) of each piece, whether it was cut hard, and for each hard cut the length of the run without white space or a closing mark that it falls in."""
     codes = _codes(text)
     n = len(codes)
-    top, strong, soft, longest = boundaries(codes)
+    top, strong, soft = boundaries(codes)
     marks = landmarks(codes, rule) if n > rule.most else np.zeros(0, np.int64)
-    spans, hard, at = [], [], 0
+    spans, hard, runs, at = [], [], [], 0
     while n:
         start = max(0, at - rule.overlap)
         limit = start + rule.most
@@ -137,21 +131,42 @@ def cut(text: str, rule: Rule = Rule()) -> tuple[list[tuple[int, int]], list[boo
             end = _nearest(soft, at + 1, limit, limit)
         hard.append(end is None)
         at = limit if end is None else end
+        if end is None:
+            k = int(np.searchsorted(soft, at, side="right"))
+            runs.append((int(soft[k]) - 1 if k < len(soft) else n) - (int(soft[k - 1]) if k else 0))
         spans.append((start, at))
-    return spans, hard, longest
+    return spans, hard, runs
 
 
 def oversized(rows: DataFrame, key: str, text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """(key, n_pieces, hard_pieces, hard_cut) of every row over the limit. hard_cut is 1 if more than the limit's characters in a row hold no boundary."""
+    """(key, n_pieces, hard_pieces, hard_cut) of every row that is cut into two pieces or more, which are those over the limit.
+
+    hard_cut is 1 if a hard cut falls in a run of more than the limit's characters without a boundary. Such a run always holds one: pieces end at its start at the
+    latest, and the next one, of which the overlap is before it, ends within the run."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            got = [cut(t, rule) for t in pdf["_t"]]
-            yield pd.DataFrame({key: pdf[key], "n_pieces": [len(s) for s, _, _ in got], "hard_pieces": [sum(h) for _, h, _ in got], "hard_cut": [int(r > rule.most) for _, _, r in got]})
+            got = [(k, *cut(t, rule)) for k, t in zip(pdf[key], pdf["_t"])]
+            got = [(k, len(s), sum(h), int(any(r > rule.most for r in runs))) for k, s, h, runs in got if len(s) > 1]
+            yield pd.DataFrame(got, columns=[key, "n_pieces", "hard_pieces", "hard_cut"])
 
     return map_rows(rows.where(F.length(text) > rule.most), [key], [F.col(text).alias("_t")], run, "n_pieces int, hard_pieces int, hard_cut int")
 
 
+def rebuilt(found: DataFrame, key: str, rule: Rule = Rule()) -> DataFrame:
+    """(key, digest, chars, within, shared, natural) of each text put together again from its pieces: the text's SHA-256 and length, whether all pieces keep
+    the limit and share the overlap, and whether all end at a boundary, or where none was possible."""
+    mark = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?。！？]"
+    new = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.substring("piece", rule.overlap + 1, 2**30))
+    one = found.select(key, "piece_no", "start_char", "end_char", "hard", new.alias("new"), F.length("piece").alias("n"))
+    docs = one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("piece_no", "start_char", "end_char", "hard", "new", "n"))).alias("p"))  # the pieces of one text
+    body = F.array_join(F.transform("p", lambda x: x["new"]), "")
+    last = F.size("p")
+    joined = F.transform(F.slice("p", 2, last), lambda x, i: x["start_char"] == F.element_at("p", i + 1)["end_char"] - rule.overlap)
+    ends = F.transform(F.slice("p", 1, last - 1), lambda x: F.when(x["hard"], ~x["new"].rlike(mark)).otherwise(F.substring(x["new"], -1, 1).rlike(mark)))
+    return docs.select(key, F.sha2(body, 256).alias("digest"), F.length(body).alias("chars"), F.forall("p", lambda x: (x["n"] <= rule.most) & (x["n"] == x["end_char"] - x["start_char"])).alias("within"), F.forall(joined, lambda x: x).alias("shared"), F.forall(ends, lambda x: x).alias("natural"))
+
+
 def pieces(rows: DataFrame, key: str, text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """(key, piece_no, start_char, end_char, hard, piece) of every text over the limit, piece_no from 1; piece is the text of code points [start_char, end_char)."""
 

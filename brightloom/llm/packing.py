@@ -1,7 +1,8 @@
 """Items of varying length packed into containers of fixed capacity, balanced by attention cost.
 
 The cost of an item is linear plus quadratic in its tokens. Items are spread at random over cells of bounded size, and
-in each cell, items in descending order go to the container of least cost with capacity left for them. A cell starts with the
+in each cell, items in descending order go to the container of least cost with capacity left for them; those that an item
+fills to the last token come before others. A cell starts with the
 fewest containers that its tokens allow, and opens another only for an item that fits in none. An item
 that alone exceeds the capacity is split into full containers and a rest, which is packed like any item.
 
@@ -46,7 +47,9 @@ def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
     smallest = int(sizes[-1]) if n else 0
     live = np.arange(start)  # containers with room for the smallest item, so that full ones are not looked at again
     for i in range(n):
-        fits = left[live] >= sizes[i]
+        room = left[live]
+        exact = room == sizes[i]
+        fits = exact if exact.any() else room >= sizes[i]
         masked = np.where(fits, costs[live], np.inf)
         j = int(masked.argmin()) if len(live) else -1
         if j < 0 or masked[j] == np.inf:
@@ -68,8 +71,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: str, by: list[str], ce
 
     by: columns of one packing, such as a spec's id. container numbers are unique in a packing."""
     rows = items.select(*by, F.col(key).cast("string").alias("_key"), F.col(size).cast("long").alias("_n"), F.col(capacity).cast("long").alias("_cap")).where("_cap > 0 AND _n IS NOT NULL")
-    counts = F.broadcast(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_items")).withColumn("_cells", F.ceil(F.col("_items") / cell)).select(*by, "_cells"))  # a row a packing
-    celled = rows.join(counts, by).withColumn("_cell", F.pmod(F.xxhash64("_key", *by), F.col("_cells")))
+    counts = stored(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_items")).withColumn("_cells", F.ceil(F.col("_items") / cell)).select(*by, "_cells"), "cells")  # a row a packing
+    total = counts.agg(F.sum("_cells")).first()[0] or 1
+    celled = rows.join(F.broadcast(counts), by).withColumn("_cell", F.pmod(F.xxhash64("_key", *by), F.col("_cells")))
+    celled = celled.repartition(int(total), *by, "_cell")  # as many tasks as cells, whatever their bytes
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "container long", f"{key} string", "part int", "from_token long", "n_tokens long"])
 

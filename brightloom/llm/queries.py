@@ -55,12 +55,22 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.pieces(table(spark, sf_dir, "evidence"), "evidence_id")
 
 
+def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every oversized text put together from its pieces, and whether the pieces keep their size, overlap and boundaries."""
+    return chunks.rebuilt(p5_pieces(spark, sf_dir), "evidence_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving record of each group of copied cards."""
     best = survivors.best_cards(table(spark, sf_dir, "cards"), table(spark, sf_dir, "source_profile"))
     return best.select("first_id", "survivor_id", "source", "materiality_candidate")
 
 
+def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of each group of copied cards, with every attribute built field by field."""
+    return survivors.best_cards(table(spark, sf_dir, "cards"), table(spark, sf_dir, "source_profile"), survivors.FIELDS)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id")
@@ -99,7 +109,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_turns": p2_turns,
-    "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids,
+    "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rebuilt": p5_rebuilt, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids,
     "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 
@@ -136,13 +146,7 @@ _VALID = "materiality_candidate BETWEEN 1 AND 5"
 _FILLED = " + ".join(
     [f"(coalesce({c}, '') <> '')::INT" for c in ("unit", "reported_change")] + [f"({c} IS NOT NULL)::INT" for c in ("low", "midpoint", "high")] + [f"coalesce({_VALID}, false)::INT"]
 )
-SQL = {
-    "p3_found": f"{_WRITTEN} SELECT record_kind, min(record_id) AS first_id, count(*)::INT AS copies FROM keyed GROUP BY record_kind, s, m, p HAVING count(*) > 1",
-    "p3_collapsed": f"{_WRITTEN} SELECT record_kind, min(record_id) AS first_id, count(*)::INT AS copies FROM keyed GROUP BY record_kind, s, m, p",
-    "p5_found": r"""
-SELECT evidence_id, (list_max(list_transform(string_split_regex(text, '[\t\n\x0b\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}.!?。！？]'), lambda x: length(x))) > 4000)::INT AS hard_cut
-FROM evidence WHERE length(text) > 4000""",
-    "p6_found": f"""
+_RANKED = f"""
 WITH keyed AS (
   SELECT c.*, {_canonical("statement")} AS s, {_canonical("metric")} AS m, {_canonical("c.period")} AS p, split_part(c.document_key, ':', 1) AS true_source
   FROM cards c
@@ -150,8 +154,22 @@ WITH keyed AS (
   SELECT k.*, row_number() OVER w AS place, count(*) OVER (PARTITION BY s, m, p) AS n, min(card_seq) OVER (PARTITION BY s, m, p) AS first_id
   FROM keyed k LEFT JOIN source_profile f ON f.source = k.true_source
   WINDOW w AS (PARTITION BY s, m, p ORDER BY f.trust_score DESC NULLS LAST, {_FILLED} DESC, extracted_at DESC NULLS LAST, card_seq)
-)
+)"""
+SQL = {
+    "p3_found": f"{_WRITTEN} SELECT record_kind, min(record_id) AS first_id, count(*)::INT AS copies FROM keyed GROUP BY record_kind, s, m, p HAVING count(*) > 1",
+    "p3_collapsed": f"{_WRITTEN} SELECT record_kind, min(record_id) AS first_id, count(*)::INT AS copies FROM keyed GROUP BY record_kind, s, m, p",
+    "p5_found": r"""
+SELECT evidence_id, (list_max(list_transform(string_split_regex(text, '[\t\n\x0b\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}.!?。！？]'), lambda x: length(x))) > 4000)::INT AS hard_cut
+FROM evidence WHERE length(text) > 4000""",
+    "p5_rebuilt": "SELECT evidence_id, sha256(text) AS digest, length(text)::INT AS chars, true AS within, true AS shared, true AS \"natural\" FROM evidence WHERE length(text) > 4000",
+    "p6_found": f"""{_RANKED}
 SELECT first_id, max(card_seq) FILTER (WHERE place = 1) AS survivor_id, max(true_source) FILTER (WHERE place = 1) AS source,
   arg_min(materiality_candidate, place) FILTER (WHERE {_VALID}) AS materiality_candidate
+FROM ranked WHERE n > 1 GROUP BY s, m, p, first_id""",
+    "p6_survivors": f"""{_RANKED}
+SELECT first_id, any_value(n)::INT AS copies, max(card_seq) FILTER (WHERE place = 1) AS survivor_id, max(true_source) FILTER (WHERE place = 1) AS source,
+  arg_min(materiality_candidate, place) FILTER (WHERE {_VALID}) AS materiality_candidate,
+  {", ".join(f"arg_min({c}, place) FILTER (WHERE {c} <> '') AS {c}" for c in ("card_type", "topic", "fact_class", "value_text", "unit", "reported_change", "speaker", "analyst", "management_speaker", "question_summary", "answer_summary", "metric_type", "guidance_type"))},
+  {", ".join(f"arg_min({c}, place) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("value_num", "low", "midpoint", "high"))}
 FROM ranked WHERE n > 1 GROUP BY s, m, p, first_id""",
 }

@@ -29,18 +29,25 @@ def survive(rows: DataFrame, group: list[str], key: str, rank: list[Column], att
     return out.select("first_id", "copies", (-F.col("_best")["k"]).alias("survivor_id"), *[F.col("_best")[n].alias(n) for n in whole], *picked)
 
 
-def best_cards(cards: DataFrame, profile: DataFrame) -> DataFrame:
-    """The survivor of each group of copies among cards: (first_id, copies, survivor_id, source, materiality_candidate).
+#: attributes of a card that are built field by field, beside the source and materiality.
+FIELDS = ["card_type", "topic", "fact_class", "value_num", "value_text", "unit", "low", "midpoint", "high", "reported_change", "speaker", "analyst", "management_speaker", "question_summary", "answer_summary", "metric_type", "guidance_type"]
 
-    A card's source is that of the disclosure that its document_key names; its own source column may be wrong."""
+
+def best_cards(cards: DataFrame, profile: DataFrame, fields: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The survivor of each group of copies among cards: (first_id, copies, survivor_id, source, materiality_candidate, fields).
+
+    A card's source is that of the disclosure that its document_key names; its own source column may be wrong. Of each of fields, the first value
+    in the order of rank that is neither null nor an empty text survives."""
     parts = ["card_seq", "statement", "metric", "period", "document_key", "unit", "low", "midpoint", "high", "reported_change", "materiality_candidate", "extracted_at"]
+    parts += [f for f in fields if f not in parts]
     records = cards.select(F.lit("card").alias("record_kind"), *parts)
     found = duplicates.members(records, "record_kind", ["statement", "metric", "period"])
     trust = profile.groupBy(F.col("source").alias("_source")).agg(F.max("trust_score").alias("_trust"))
     rows = found.withColumn("_source", F.when(F.col("document_key").contains(":"), F.substring_index("document_key", ":", 1))).join(trust, "_source", "left")
-    valid = F.coalesce(F.col("materiality_candidate").between(1, 5), F.lit(False))
+    valid, kinds = F.coalesce(F.col("materiality_candidate").between(1, 5), F.lit(False)), dict(cards.dtypes)
     text = [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("unit", "reported_change")]
     filled = sum((x.cast("int") for x in [*text, *[F.col(c).isNotNull() for c in ("low", "midpoint", "high")], valid]), F.lit(0))
     rank = [F.coalesce("_trust", F.lit(-(2**31))), filled, F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**63)))]
-    out = survive(rows, ["record_kind", "_key"], "card_seq", rank, {"materiality_candidate": (F.col("materiality_candidate"), valid)}, {"source": F.col("_source")})
+    filled_in = {f: (F.col(f), F.coalesce(F.col(f) != "", F.lit(False)) if kinds[f] == "string" else F.col(f).isNotNull()) for f in fields}
+    out = survive(rows, ["record_kind", "_key"], "card_seq", rank, {"materiality_candidate": (F.col("materiality_candidate"), valid), **filled_in}, {"source": F.col("_source")})
     return out.where("copies > 1")

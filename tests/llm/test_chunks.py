@@ -1,9 +1,11 @@
+import hashlib
 import random
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brightloom.llm import chunks
 
@@ -11,8 +13,9 @@ SMALL = chunks.Rule(most=60, overlap=8, least=20, window=4, every=16, reach=12)
 
 
 def check(text, rule):
-    spans, hard, longest = chunks.cut(text, rule)
-    assert longest == max(map(len, re.split("[" + "".join(re.escape(chr(c)) for c in chunks.WHITE + chunks.ENDS) + "]", text)))
+    spans, hard, runs = chunks.cut(text, rule)
+    every = list(map(len, re.split("[" + "".join(re.escape(chr(c)) for c in chunks.WHITE + chunks.ENDS) + "]", text)))
+    assert len(runs) == sum(hard) and set(runs) <= set(every) and (max(runs, default=0) > rule.most) == (max(every) > rule.most)
     if not text:
         assert spans == []
         return
@@ -64,3 +67,8 @@ def test_tables(spark):
     got = chunks.pieces(df, "evidence_id").where("evidence_id = 1").orderBy("piece_no").collect()
     assert [len(r["piece"]) for r in got] == [r["end_char"] - r["start_char"] for r in got] and got[-1]["end_char"] == 5000
     assert chunks.pieces(df.limit(0), "evidence_id").count() == 0
+    whole = chunks.rebuilt(chunks.pieces(df.where("evidence_id = 1"), "evidence_id"), "evidence_id").first()
+    assert whole["digest"] == hashlib.sha256(b"x" * 5000).hexdigest() and whole["chars"] == 5000 and whole["within"] and whole["shared"] and whole["natural"]
+    bad = chunks.pieces(df.where("evidence_id = 1"), "evidence_id").withColumn("hard", F.lit(False))
+    assert not chunks.rebuilt(bad, "evidence_id").first()["natural"]
+    assert chunks.rebuilt(chunks.pieces(df.limit(0), "evidence_id"), "evidence_id").count() == 0

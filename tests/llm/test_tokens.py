@@ -89,6 +89,22 @@ def test_pack_texts(spark):
     assert packing.pack_texts(docs.limit(0), specs).count() == 0 and packing.pack_texts(docs, specs.limit(0)).count() == 0
 
 
+def test_real_texts_in_several_cells_leave_little_room(spark):
+    d = "/root/testdata/sf0.01"
+    docs, specs = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/pack_specs.parquet")
+    packed = packing.pack_texts(docs, specs, cell=250)
+    rows = packed.toPandas()
+    assert rows.assign(cell=rows.container // 2**32).groupby("spec_id").cell.nunique().min() >= 4
+    cap = {r["spec_id"]: r["capacity_tokens"] for r in specs.collect()}
+    used = rows.groupby(["spec_id", "container"]).n_tokens.sum().reset_index()
+    assert all(used.n_tokens[i] <= cap[used.spec_id[i]] for i in used.index)
+    want = {r["doc_id"]: r["n_tokens"] for r in tokens.lengths(docs, "doc_id").collect()}
+    for s, one in rows.groupby("spec_id"):
+        assert one.groupby("doc_id").n_tokens.sum().to_dict() == want
+        room = 1 - sum(want.values()) / (one.container.nunique() * cap[s])
+        assert room < {512: 0.02, 2048: 0.03, 8192: 0.08}[cap[s]]  # cells are small here: some ten containers of 8,192 each
+
+
 def test_keys_keep_their_values(spark, reference):
     big = 9_007_199_254_740_993
     docs = spark.createDataFrame([(big, "one"), (None, "two"), (big + 2, None)], "doc_id long, text string")
