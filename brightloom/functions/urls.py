@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Query parameters that only track visitors.
-TRACKING = r"(?i)^(?:utm_.*|ref|source|ocid|output)="
+TRACKING = r"(?i)^(?:utm_[^=]*|ref|source|ocid|output)(?:=|$)"
 # end of fixed values
 
 
@@ -30,7 +30,8 @@ def query(url: Column) -> Column:
 def article_key(url: Column) -> Column:
     """One form for the links of one article: no www, trailing slash, fragment or tracking parameters."""
     kept = F.array_join(F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
-    base = F.concat(scheme(url), F.lit("://"), F.regexp_replace(host(url), r"^www\.", ""), F.regexp_replace(path(url), r"/+$", ""))
+    short = F.regexp_replace(path(url), r"/+$", "")
+    base = F.concat(scheme(url), F.lit("://"), F.regexp_replace(host(url), r"^www\.", ""), F.when(short == "", F.lit("/")).otherwise(short))
     return F.when(kept == "", base).otherwise(F.concat(base, F.lit("?"), kept))
 
 

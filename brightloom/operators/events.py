@@ -55,6 +55,11 @@ def align_companions(df: DataFrame, day: str) -> DataFrame:
     )
 
 
+def published_day(published: Column) -> Column:
+    """The day that a publication's text begins with, as text; null where it begins otherwise: such texts are to be normalised first."""
+    return F.nullif(F.regexp_extract(published, r"^\s*(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+
+
 def with_event(df: DataFrame) -> DataFrame:
     return df.withColumn("event_id", periods.event_key(F.col("ticker"), F.col("inferred_year"), F.col("inferred_quarter"), F.col("period_end")))
 
@@ -70,10 +75,15 @@ def suppress_mirrors(df: DataFrame, seq: str) -> DataFrame:
 
 
 def form_events(df: DataFrame, seq: str) -> DataFrame:
-    """A row an event: number of distinct documents, and the first document's key and period."""
+    """A row an event: its distinct documents in the order in which they first came, their number, and the first document's key and period.
+
+    A document is counted once on the map side; an event's distinct documents are gathered in one row, as they are its state."""
     first = F.min(F.struct(F.col(seq).alias("s"), F.col("document_key").alias("k"), F.col("inferred_year").alias("y"), F.col("inferred_quarter").alias("q"), F.col("period_end").alias("e"))).alias("f")
-    found = df.where("event_id IS NOT NULL").groupBy("event_id").agg(F.count_distinct("document_key").alias("documents"), F.max(seq).alias("last_seq"), F.first("ticker").alias("ticker"), first)
-    return found.select("event_id", "ticker", "documents", F.col("f.k").alias("first_key"), F.col("f.y").alias("fiscal_year"), F.col("f.q").alias("quarter"), F.col("f.e").alias("period_end"), "last_seq")
+    placed = df.where("event_id IS NOT NULL")
+    keys = placed.where("document_key IS NOT NULL").groupBy("event_id", "document_key").agg(F.min(seq).alias("s")).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("s", "document_key"))).alias("keys"))
+    found = placed.groupBy("event_id").agg(F.max(seq).alias("last_seq"), F.min("ticker").alias("ticker"), first).join(keys, "event_id", "left")
+    keys = F.coalesce(F.transform("keys", lambda k: k["document_key"]), F.array().cast("array<string>"))
+    return found.select("event_id", "ticker", keys.alias("document_keys"), F.size(keys).cast("long").alias("documents"), F.col("f.k").alias("first_key"), F.col("f.y").alias("fiscal_year"), F.col("f.q").alias("quarter"), F.col("f.e").alias("period_end"), "last_seq")
 
 
 def outcomes(df: DataFrame, known: DataFrame, patterns: DataFrame, seq: str) -> DataFrame:
@@ -97,7 +107,8 @@ def manifest(df: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("documents"),
         *[F.coalesce(F.bool_or(F.col(c).isin(v)), F.lit(False)).alias(n) for n, c, v in (
             ("has_primary_results", "document_kind", PRIMARY_KINDS), ("has_official_ir", "source", MIRROR_SOURCES), ("has_transcript_or_qa", "document_kind", TRANSCRIPT_KINDS),
-            ("has_transcript_enrichment", "source", ENRICHMENT_SOURCES), ("has_financial_tables", "document_kind", ["financial_tables"]), ("has_presentation", "document_kind", ["presentation"]),
+            ("has_transcript_enrichment", "source", ENRICHMENT_SOURCES), ("has_financial_tables", "document_kind", ["financial_tables"]),
+            ("has_performance_review", "document_kind", ["performance_review"]), ("has_presentation", "document_kind", ["presentation"]),
         )],
     )
     as_map = lambda c: F.map_from_entries(c)

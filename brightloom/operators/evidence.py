@@ -6,26 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import periods, urls
+from brightloom.functions.text import classify_title, contains_any, escape_html, utf16_units, without_fence
 from brightloom.operators.groups import first_rows, top_rows
 from brightloom.operators.unitize import even_sample
 
 GROUNDED = "sources array<struct<url: string, title: string, document_kind: string, published_at: string>>"
 
-# Kinds of documents that a search model's answer may name; labels of an analyst's own taxonomy.
+# Kinds of documents that a search model's answer may name; kinds that accompany results and words for results; labels of an analyst's own taxonomy; words of a report that are put otherwise for its readers; its sections on a call.
+COMPANION_KINDS = ["qa", "transcript", "presentation", "supplement", "financial_tables", "performance_review", "prepared_remarks"]
+FRESH_TERMS = ["earnings", "financial results", "quarterly results", "conference call", "webcast"]
 KNOWN_KINDS = ["qa", "transcript", "presentation", "supplement", "financial_tables", "performance_review", "prepared_remarks", "financial_results"]
 INTERNAL_LABEL = r"(?i)\[(?:\s*M[1-5]\s*[|｜]\s*[ABCD]\s*|\s*(?:Driver|Lever|Catalyst|Risk|Missing|Alternative)\s*)\]\s*"
+REPORT_WORDS = [(r"(?im)^\s*└\s*Weak link\s*:\s*", "└ 尚未確認: "), (r"(?im)^\s*•\s*Claim\s*:\s*", "• "), (r"\s*\|\s*Evidence\s*:\s*", "；證據：")]
+REPORT_HEADERS = [("🏢 業務部門 / 客戶ROI:", "🏢 業務部門:\n└ 客戶/ROI:"), ("🏢 業務部門 / 客戶ROI：", "🏢 業務部門:\n└ 客戶/ROI:")]
+CALL_SECTION = r"(?is)\n{2,}🎙️\s*法說\s*Q&A\s*[:：].*?(?=\n{2,}⚖️|\z)"
+REPORT_UNITS = 4000
 # end of fixed values
 
 
-def match_events(contexts: DataFrame, events: DataFrame, key: str, ticker: str, context: str, day: str | None = None, near: int = 14) -> DataFrame:
-    """(key, event_id) of each context that fits one event of its company: by year and quarter if just one has them, else, for a company with one event, by a date within `near` days of its period's end."""
-    year, quarter = periods.period_of(F.col(context), F.lit(None).cast("int"), F.lit(None).cast("string"))
-    c = contexts.select(key, F.col(ticker).alias("_t"), year.alias("_y"), quarter.alias("_q"), (F.col(day) if day else periods.nearby_date(F.col(context))).alias("_day"))
-    once = events.groupBy("ticker", "fiscal_year", "quarter").agg(F.count_distinct("event_id").alias("_n"), F.min("event_id").alias("by_period")).where("_n = 1")
-    named = c.join(once, (F.col("_t") == F.col("ticker")) & (F.col("_y") == F.col("fiscal_year")) & (F.col("_q") == F.col("quarter")), "left").select(key, "_t", "_day", "by_period")
-    single = events.groupBy(F.col("ticker").alias("_t")).agg(F.count_distinct("event_id").alias("_n"), F.min("event_id").alias("only"), F.min("period_end").alias("_end")).where("_n = 1").drop("_n")
+def match_events(contexts: DataFrame, events: DataFrame, key: str, ticker: str, context: str, day: str | None = None, near: int = 14, fresh: int = 7) -> DataFrame:
+    """(key, event_id) of each context that fits one event of its company: by year and quarter if just one has them; else, for a company with one event, by a date
+    in the context that lies within `near` days of `day` for what accompanies results, and within `fresh` days where it speaks of results themselves."""
+    said = F.coalesce(F.col(context), F.lit(""))
+    year, quarter = periods.period_of(said, F.lit(None).cast("int"), F.lit(None).cast("string"))
+    about = F.when(F.coalesce(classify_title(said).isin(COMPANION_KINDS), F.lit(False)), near).when(contains_any(F.lower(said), FRESH_TERMS), fresh)
+    c = contexts.select(key, F.col(ticker).alias("_t"), year.alias("_y"), quarter.alias("_q"), (F.col(day) if day else F.lit(None).cast("date")).alias("_day"), periods.nearby_date(said).alias("_near"), about.alias("_within"))
+    once = events.groupBy("ticker", "fiscal_year", "quarter").agg(F.min("event_id").alias("by_period"), F.max("event_id").alias("_hi")).where("by_period = _hi")
+    named = c.join(once, (F.col("_t") == F.col("ticker")) & (F.col("_y") == F.col("fiscal_year")) & (F.col("_q") == F.col("quarter")), "left").select(*c.columns, "by_period")
+    single = events.groupBy(F.col("ticker").alias("_t")).agg(F.min("event_id").alias("only"), F.max("event_id").alias("_hi")).where("only = _hi").drop("_hi")
     both = named.join(single, "_t", "left")
-    close = F.abs(F.datediff(F.col("_day"), F.try_to_date("_end", "yyyy-MM-dd"))) <= near
+    close = F.abs(F.datediff(F.col("_day"), F.col("_near"))) <= F.col("_within")
     return both.select(key, F.coalesce("by_period", F.when(close, F.col("only"))).alias("event_id")).where("event_id IS NOT NULL")
 
 
@@ -72,7 +82,7 @@ def collection_status(attempts: DataFrame, by: str, ok: str) -> DataFrame:
 
 def grounded_sources(answers: DataFrame, key: str, answer: str, allowed: str) -> DataFrame:
     """Documents that a search model's answer names, each with whether it is accepted: of a known kind, with a link on an allowed host, once a link."""
-    plain = F.trim(F.regexp_replace(F.col(answer), r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", ""))
+    plain = without_fence(F.col(answer))
     s = answers.select(key, F.col(allowed).alias("_allowed"), F.posexplode(F.from_json(plain, GROUNDED)["sources"]).alias("at", "s")).select(key, "_allowed", "at", "s.*")
     s = s.withColumn("link", urls.asset_key(F.coalesce("url", F.lit("")))).withColumn("first_at", F.min("at").over(Window.partitionBy(key, "link")))
     reason = F.when(F.coalesce("url", F.lit("")) == "", "no_link").when(~F.coalesce(F.col("document_kind").isin(KNOWN_KINDS), F.lit(False)), "unknown_kind").when(~F.coalesce(urls.host_allowed(F.col("url"), F.col("_allowed")), F.lit(False)), "other_host").when(F.col("at") > F.col("first_at"), "repeated")
@@ -92,8 +102,33 @@ def usage(calls: DataFrame, by: list[str]) -> DataFrame:
 def clean_report(report: Column) -> Column:
     """A report without the analyst's own labels."""
     s = F.regexp_replace(F.coalesce(report, F.lit("")), INTERNAL_LABEL, "")
-    s = F.regexp_replace(s, r"(?im)^\s*•\s*Claim\s*:\s*", "• ")
-    return F.trim(F.regexp_replace(s, r"\s*\|\s*Evidence\s*:\s*", "；證據："))
+    for pattern, words in REPORT_WORDS:
+        s = F.regexp_replace(s, pattern, words)
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
+def report_headers(report: Column) -> Column:
+    """A clean report with its older combined header split in two lines."""
+    s = clean_report(report)
+    for old, new in REPORT_HEADERS:
+        s = F.replace(s, F.lit(old), F.lit(new))
+    return s
+
+
+def without_call_section(report: Column) -> Column:
+    """A report without its section on a call's questions."""
+    return F.regexp_replace(F.regexp_replace(report, CALL_SECTION, ""), r"(?U)^\s+|\s+$", "")
+
+
+def composed(reports: DataFrame, documents: DataFrame, key: str, body: str, order: list[Column], title: str = "資料來源") -> DataFrame:
+    """(key, message, units, fits) of each report with its sources below: each of them once by title and link, escaped, in order.
+
+    units: its size in UTF-16 units, by which messages are limited. A report's sources are the documents of one event."""
+    lines = report_sources(documents, [key], order).select(key, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"), F.concat(F.lit('• <a href="'), escape_html(F.coalesce("url", F.lit(""))), F.lit('">'), escape_html(F.coalesce("shown", F.lit(""))), F.lit("</a>")).alias("line"))
+    below = lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("_below"))
+    message = F.concat(F.trim(F.coalesce(body, F.lit(""))), F.lit(f"\n\n{title}:\n"), F.coalesce("_below", F.lit("")))
+    out = reports.join(below, key, "left").select(key, message.alias("message"))
+    return out.select(key, "message", utf16_units(F.col("message")).alias("units"), (utf16_units(F.col("message")) <= REPORT_UNITS).alias("fits"))
 
 
 def last_hours(articles: DataFrame, at: str, now: Column, hours: int, by: list[str], k: int) -> DataFrame:

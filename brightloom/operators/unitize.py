@@ -13,6 +13,9 @@ from brightloom.functions import text
 
 UNIT_CHARS, BATCH_CHARS, BATCH_UNITS = 4000, 8000, 2
 SECTION_CHARS, GROUP_CHARS, MOST_GROUPS = 7500, 22_000, 6
+# Words of a kind or title that tell a call.
+CALL_HINTS = ["transcript", "earnings call", "conference call", "prepared remarks", "q&a"]
+# end of fixed values
 
 
 def hard_split(parts: Column, most: int) -> Column:
@@ -21,30 +24,35 @@ def hard_split(parts: Column, most: int) -> Column:
     return F.flatten(F.transform(F.filter(parts, lambda p: F.length(p) > 0), cut))
 
 
-def greedy_groups(sizes: Column, most: int, glue: int = 0, most_items: int | None = None) -> Column:
-    """For each item of an array of sizes, the number of its group from 1: a new one begins where the next item would not fit.
+def greedy_spans(sizes: Column, most: int, glue: int = 0, most_items: int | None = None) -> Column:
+    """The groups of an array of sizes as (a, n), the place of their first item from 1 and their number of items: a new one begins where the next item would not fit.
 
-    glue: what is added between two items of a group."""
-    zero = F.struct(F.lit(0).alias("g"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("items"), F.array().cast("array<int>").alias("out"))
+    glue: what is added between two items of a group. The fold appends once a group and not once an item."""
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("items"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
         grown = acc["size"] + x + glue
         full = (acc["items"] > 0) & ((grown > most) | (F.lit(most_items is not None) & (acc["items"] >= (most_items or 0))))
         opens = full | (acc["items"] == 0)
-        g = F.when(opens, acc["g"] + 1).otherwise(acc["g"])
-        return F.struct(g.alias("g"), F.when(opens, x.cast("long")).otherwise(grown).alias("size"), F.when(opens, 1).otherwise(acc["items"] + 1).alias("items"), F.concat(acc["out"], F.array(g)).alias("out"))
+        at = acc["i"] + 1
+        return F.struct(at.alias("i"), F.when(opens, x.cast("long")).otherwise(grown).alias("size"), F.when(opens, 1).otherwise(acc["items"] + 1).alias("items"), F.when(opens, F.concat(acc["starts"], F.array(at))).otherwise(acc["starts"]).alias("starts"))
+
+    def ended(acc: Column) -> Column:
+        ends = F.concat(F.slice(acc["starts"], F.lit(2), F.greatest(F.size(acc["starts"]), F.lit(1))), F.array(acc["i"] + 1))
+        return F.transform(acc["starts"], lambda a, k: F.struct(a.alias("a"), (F.get(ends, k) - a).alias("n")))
 
-    return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
+    return F.aggregate(sizes, zero, step, ended)
+
+
+def greedy_groups(sizes: Column, most: int, glue: int = 0, most_items: int | None = None) -> Column:
+    """For each item of an array of sizes, the number of its group from 1."""
+    return F.flatten(F.transform(greedy_spans(sizes, most, glue, most_items), lambda s, k: F.array_repeat(k + 1, s["n"])))
 
 
 def blocks(parts: Column, most: int) -> Column:
     """Paragraphs joined by blank lines into blocks within the limit, longer ones cut."""
-    pieces = hard_split(parts, most)
-    group = greedy_groups(F.transform(pieces, F.length), most, glue=2)
-    tagged = F.arrays_zip(pieces.alias("t"), group.alias("g"))
-    last = F.coalesce(F.try_element_at(group, F.lit(-1)), F.lit(0))
-    numbers = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda k: F.array_join(F.transform(F.filter(tagged, lambda x: x["g"] == k), lambda x: x["t"]), "\n\n"))
+    joined = lambda pieces: F.transform(greedy_spans(F.transform(pieces, F.length), most, glue=2), lambda s: F.array_join(F.slice(pieces, s["a"], s["n"]), "\n\n"))
+    return F.get(F.transform(F.array(hard_split(parts, most)), joined), F.lit(0))  # the pieces are made once
 
 
 def kind_of(kind: Column, title: Column) -> Column:
@@ -81,17 +89,16 @@ def units(evidence: DataFrame, most: int = UNIT_CHARS, key: str = "evidence_id")
     ends = F.concat(F.slice(opens, 2, F.size(opens)), F.array(n + 1))
     spans = F.transform(F.arrays_zip(opens.alias("a"), ends.alias("b")), lambda s: F.struct(s["a"].alias("a"), (s["b"] - s["a"]).alias("n")))
     df = df.withColumn("spans", F.when(n > 0, spans))
-    cut = df.select(key, "document_key", "kind", "transcript", "structured_facts", F.posexplode_outer("spans").alias("nth", "span"), "parts", "marks")
-    asked = F.col("transcript") & F.coalesce(F.try_element_at(F.col("marks"), F.col("span.a")) | (F.col("nth") > 0), F.lit(False))
-    phase = F.when(asked, "qa").when(F.col("transcript"), "prepared_remarks").otherwise(F.col("kind"))
-    made = cut.where("span IS NOT NULL").select(key, "document_key", "nth", phase.alias("phase"), F.posexplode(blocks(F.slice("parts", F.col("span.a"), F.col("span.n")), most)).alias("at", "unit"))
-    # positions go through a document's spans; spans and blocks of a document are gathered as sizes only
-    per_span = made.groupBy(key, "document_key", "nth").agg(F.count(F.lit(1)).alias("m"))
-    offsets = per_span.groupBy(key, "document_key").agg(F.array_sort(F.collect_list(F.struct("nth", "m"))).alias("all"))
-    placed = made.join(offsets, [key]).drop(offsets["document_key"])
-    before = F.aggregate(F.filter("all", lambda s: s["nth"] < F.col("nth")), F.lit(0).cast("long"), lambda acc, s: acc + s["m"])
-    position = (F.col("at") + 1 + before).cast("int")
-    text_units = placed.select(key, F.concat(F.col("document_key"), F.lit("#u"), position).alias("unit_id"), position.alias("position"), "phase", F.length("unit").alias("n_chars"), "unit")
+
+    def of_span(s: Column, nth: Column) -> Column:
+        asked = F.col("transcript") & F.coalesce(F.try_element_at(F.col("marks"), s["a"]) | (nth > 0), F.lit(False))
+        phase = F.when(asked, "qa").when(F.col("transcript"), "prepared_remarks").otherwise(F.col("kind"))
+        return F.transform(blocks(F.slice("parts", s["a"], s["n"]), most), lambda b: F.struct(phase.alias("phase"), b.alias("unit")))
+
+    # units are numbered within their document's array, so that no text is shuffled or joined for its position
+    made = df.select(key, "document_key", F.posexplode(F.flatten(F.transform("spans", of_span))).alias("at", "u"))
+    position = F.col("at") + 1
+    text_units = made.select(key, F.concat(F.col("document_key"), F.lit("#u"), position).alias("unit_id"), position.alias("position"), F.col("u.phase").alias("phase"), F.length("u.unit").alias("n_chars"), F.col("u.unit").alias("unit"))
     facts = F.to_json("structured_facts")
     fact_units = evidence.where(F.size("structured_facts") > 0).select(key, F.concat(F.col("document_key"), F.lit("#structured")), F.lit(0), F.lit("structured_facts"), F.length(facts), facts)
     return text_units.unionAll(fact_units)
@@ -185,7 +192,7 @@ def bounded_join(parts: Column, most: int) -> Column:
         some = F.substring(p, F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
         return F.when((F.length(p) == 0) | (left <= 0), acc).otherwise(F.struct((acc["used"] + F.length(some) + 2).alias("used"), F.concat(acc["out"], F.array(some)).alias("out")))
 
-    return F.substring(F.aggregate(F.transform(parts, F.trim), zero, step, lambda acc: F.array_join(acc["out"], "\n\n")), 1, most)
+    return F.substring(F.aggregate(F.transform(parts, lambda x: F.trim(x)), zero, step, lambda acc: F.array_join(acc["out"], "\n\n")), 1, most)
 
 
 def best_pages(pages: Column, k: int, always: int) -> Column:
@@ -219,6 +226,27 @@ def compress_call(pages: Column, most: int = 46_000) -> Column:
     return bounded_join(F.array(bounded_join(_paged(pages, asked), qa_budget), bounded_join(_paged(pages, best_pages(before, 5, 1)), most - qa_budget)), most)
 
 
+def compress_text(content: Column, most: int = 24_000) -> Column:
+    """The paragraphs and sentences of a text that hold a signal word, within a budget; the text itself where none does."""
+    clean = F.trim(F.regexp_replace(F.coalesce(content, F.lit("")), r"\n{3,}", "\n\n"))
+    told = F.filter(text.sentences(clean), lambda x: text.contains_any(F.lower(x), text.SIGNAL_TERMS))
+    return bounded_join(F.when(F.size(told) > 0, told).otherwise(F.array(clean)), most)
+
+
+def compress(content: Column, kind: Column, title: Column) -> Column:
+    """A text in short by its kind or its title: calls with their questions first, in pages of a dozen paragraphs; other texts by their sentences."""
+    probe = F.lower(F.concat_ws(" ", F.coalesce(kind, F.lit("")), F.coalesce(title, F.lit(""))))
+    call = F.coalesce(kind.isin("transcript", "qa", "prepared_remarks"), F.lit(False)) | text.contains_any(probe, CALL_HINTS)
+    return F.when(call, compress_call(pseudo_pages(content))).otherwise(compress_text(content))
+
+
+def unit_payload(unit_rows: DataFrame, evidence: DataFrame, key: str = "evidence_id") -> DataFrame:
+    """Units as an extraction model gets them: nine fields, empty where they are unknown."""
+    docs = evidence.select(key, "document_key", "title", F.coalesce("metadata.source", F.lit("")).alias("source"), F.coalesce("metadata.document_kind", F.lit("")).alias("document_kind"))
+    rows = unit_rows.join(docs, key)
+    return rows.select("unit_id", "document_key", F.coalesce("title", F.lit("")).alias("title"), "source", "document_kind", F.coalesce("phase", F.lit("")).alias("phase"), F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("unit", F.lit("")).alias("text"), F.lit("").alias("related_official_context"))
+
+
 def pseudo_pages(content: Column, size: int = 12) -> Column:
     """A text's paragraphs, a dozen to a page."""
     p = text.paragraphs(content)

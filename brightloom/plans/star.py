@@ -106,9 +106,11 @@ def top_lines_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_rows(li.select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice"), ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 3)
 
 
-@query("SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) GROUP BY 1")
+@query("SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate >= DATE '2001-01-01') GROUP BY 1")
 def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an order since 2001."""
     c, o = _t(spark, sf_dir, "customer", "orders")
+    o = o.where("o_orderdate >= DATE '2001-01-01'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").groupBy("c_nationkey").agg(_n().alias("customers"))
 
 
@@ -118,10 +120,11 @@ def shared_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_nationkey").alias("nationkey")).intersect(c.where("c_acctbal > 0").select("c_nationkey"))
 
 
-@query("SELECT l_partkey AS partkey FROM lineitem WHERE l_quantity > 45 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT l_partkey AS partkey, l_suppkey AS suppkey FROM lineitem WHERE l_quantity > 45 EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
 def parts_never_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
     (li,) = _t(spark, sf_dir, "lineitem")
-    return li.where("l_quantity > 45").select(F.col("l_partkey").alias("partkey")).subtract(li.where("l_returnflag = 'R'").select("l_partkey"))
+    """Parts of suppliers that were ordered in quantity and never returned."""
+    return li.where("l_quantity > 45").select(F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey")).subtract(li.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey"))
 
 
 @query("""

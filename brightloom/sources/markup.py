@@ -39,7 +39,7 @@ class _Page(HTMLParser):
         self.links: list[dict] = []
         self.pending: list[tuple[dict, int]] = []  # links that wait for their parent's whole text
         self.rows: list[list[dict]] = []
-        self.table = ""
+        self.table, self.headline = "", ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -69,6 +69,8 @@ class _Page(HTMLParser):
             said = " ".join(" ".join(parts).split())
             if t in HEADINGS:
                 self.heading = said
+            if t == "h1":
+                self.headline = self.headline or said
             if t == "title":
                 self.meta.setdefault("title", said)
             if t == "script":
@@ -103,15 +105,15 @@ def read_page(source: str | None) -> _Page:
 
 
 def page_links(source: str | None, base: str | None) -> list[dict]:
-    """Links of a page with their context: label, heading before and parent's text, each once; also assets named in scripts with what is around them."""
+    """Links of a page in order, with the page's headline, their label and context: label, heading before and parent's text, each once; also assets named in scripts with what is around them."""
     page, out = read_page(source), []
     for x in page.links:
         context = " ".join(dict.fromkeys(p for p in (x["label"], x["heading"], x["parent"]) if p))
-        out.append({"target": urljoin(base or "", x["href"]), "context": context, "kind": "anchor"})
+        out.append({"at": len(out), "target": urljoin(base or "", x["href"]), "label": x["label"], "context": context, "headline": page.headline, "kind": "anchor"})
     for s in page.scripts:
         s = s.replace("\\/", "/")
         for m in re.finditer(r"((?:https?:)?//|/)[^\"'<>\s]{3,300}?\.(?:pdf|xlsx?|txt|html?)(?:\?[^\"'<>\s]*)?", s, re.I):
-            out.append({"target": urljoin(base or "", m[0]), "context": s[max(0, m.start() - 700) : m.end() + 700], "kind": "script"})
+            out.append({"at": len(out), "target": urljoin(base or "", m[0]), "label": "", "context": s[max(0, m.start() - 700) : m.end() + 700], "headline": page.headline, "kind": "script"})
     return out
 
 
@@ -228,7 +230,7 @@ def _each(df: DataFrame, key: str, cols: list[str], f, schema: str) -> DataFrame
 
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    return _each(pages, key, ["html", "url"], page_links, "target string, context string, kind string")
+    return _each(pages, key, ["html", "url"], page_links, "at int, target string, label string, context string, headline string, kind string")
 
 
 def attachment_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -275,14 +277,16 @@ def extract(files: DataFrame, key: str = "path") -> DataFrame:
 
 
 def crawl_once(pages: DataFrame, found: DataFrame, most: int = 8, key: str = "page_id") -> DataFrame:
-    """Links one level down: of each page, its own links and those of the first `most` distinct pages it links to that are there, each target once, first come first kept."""
+    """Links one level down: of each page, its own links and those of the first `most` distinct pages it links to that are there, each target once, first come first kept.
+
+    Order is that of links on a page, so that the same pages give the same result in every run."""
     from brightloom.functions import urls
     from brightloom.operators.groups import first_rows, top_rows
 
-    named = pages.select(F.col(key).alias("_to"), urls.asset_key(F.col("url")).alias("_key")).dropDuplicates(["_key"])
-    numbered = found.withColumn("_key", urls.asset_key(F.col("target"))).withColumn("_n", F.monotonically_increasing_id())
-    hops = first_rows(numbered.join(named, "_key").where(F.col("_to") != F.col(key)), [key, "_to"], [F.col("_n")])
-    hops = top_rows(hops, [key], [F.col("_n")], most, "_hop").select(F.col(key).alias("_from"), "_to", "_hop")
-    below = numbered.join(hops, numbered[key] == hops["_to"]).select(F.col("_from").alias(key), "target", "context", "kind", "_key", F.col("_hop"), "_n")
-    every = numbered.select(key, "target", "context", "kind", "_key", F.lit(0).alias("_hop"), "_n").unionByName(below)
-    return first_rows(every, [key, "_key"], [F.col("_hop"), F.col("_n")]).select(key, "target", "context", "kind", F.col("_hop").alias("hop"))
+    named = pages.groupBy(urls.asset_key(F.col("url")).alias("_key")).agg(F.min(key).alias("_to"))
+    numbered = found.withColumn("_key", urls.asset_key(F.col("target")))
+    hops = first_rows(numbered.join(named, "_key").where(F.col("_to") != F.col(key)).select(key, "_to", "at"), [key, "_to"], [F.col("at")])
+    hops = top_rows(hops, [key], [F.col("at"), F.col("_to")], most, "_hop").select(F.col(key).alias("_from"), F.col("_to"), "_hop")
+    below = numbered.join(hops, numbered[key] == hops["_to"]).select(F.col("_from").alias(key), "target", "context", "kind", "_key", "_hop", "at")
+    every = numbered.select(key, "target", "context", "kind", "_key", F.lit(0).alias("_hop"), "at").unionByName(below)
+    return first_rows(every, [key, "_key"], [F.col("_hop"), F.col("at")]).select(key, "target", "context", "kind", F.col("_hop").alias("hop"))

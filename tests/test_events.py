@@ -1,5 +1,7 @@
 from datetime import date, datetime
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brightloom.operators import articles, cards, checks, events, groups, store
@@ -97,7 +99,7 @@ def test_line_checks(spark):
     assert checks.metric_in_sections(both, "doc_id", ["revenue"]).first()["sections"] == 3
     assert checks.shared_pairs(both, "doc_id", ["revenue"], "third", "fourth").count() >= 1
     claims = spark.createDataFrame([(1, "they have pricing power"), (2, "not proven pricing power"), (3, "pricing power to be verified")], "doc_id long, line string")
-    got = checks.strong_claims(claims, "doc_id", {"power": ["pricing power"]}, "not (?:proven|confirmed)", "to be verified")
+    got = checks.strong_claims(claims, "doc_id", {"power": ["pricing power"]}, "not (?:proven|confirmed)", " to be verified")
     assert [r["doc_id"] for r in got.collect()] == [1]
     assert [r["rate"] for r in checks.unbacked_rates(spark.createDataFrame([(1, "up 5% and 7%", "7.0 %")], "k int, a string, b string"), "k", "a", "b").collect()] == ["5%"]
 
@@ -105,11 +107,43 @@ def test_line_checks(spark):
 def test_articles(spark):
     rows = [(1, "https://a.x/1?utm_a=1", "One", 9), (2, "https://www.a.x/1", "Other", 8), (3, "https://a.x/2", "ONE!", 7), (4, "https://a.x/3", "", 6), (5, "https://a.x/4", None, 5), (6, "https://a.x/5", "Six", 4)]
     df = spark.createDataFrame([(*r, "T") for r in rows], "n long, url string, title string, score int, ticker string")
-    got = articles.pick(df, ["ticker"], [F.desc("score") * 1 if False else -F.col("score"), F.col("n")], 3).orderBy("picked").collect()
-    assert [r["n"] for r in got] == [1, 4, 5]
+    order = [-F.col("score"), F.col("n")]
+    got = articles.pick(df, ["ticker"], order, 3).orderBy("picked").collect()
+    assert [(r["n"], r["picked"]) for r in got] == [(1, 1), (4, 2), (5, 3)]
+    three = spark.createDataFrame([(1, "https://a.x/0", "one", 9, "T"), (2, "https://a.x/1", "one", 8, "T"), (3, "https://a.x/1", "two", 7, "T")], df.schema)
+    assert [r["n"] for r in articles.pick(three, ["ticker"], order, 10).orderBy("picked").collect()] == [1, 3]  # what is stopped by its title doesn't stop others by its link
     assert spark.range(1).select(articles.split_blocks(F.array(F.lit("a" * 30), F.lit("b" * 30), F.lit("c")), 40).alias("x")).first()["x"] == ["a" * 30, "b" * 30 + "\n\nc"]
     score = spark.createDataFrame([("news.a.x",), ("b.y",)], "d string").select(articles.domain_score(F.col("d"), {"a.x": 5}).alias("s")).collect()
-    assert [r["s"] for r in score] == [5, 0]
+    assert [r["s"] for r in score] == [5, 50]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4)), max_size=25), min_size=1, max_size=6))
+def test_picks_are_those_of_a_walk(spark, groups):
+    rows = [(g, n, f"https://a.x/{link}", ["", "one", "two", "three", "four"][title]) for g, arts in enumerate(groups) for n, (link, title) in enumerate(arts)]
+    want = set()
+    for g, arts in enumerate(groups):
+        links, titles, k = set(), {0}, 0
+        for n, (link, title) in enumerate(arts):
+            if k < 2 and link not in links and (title == 0 or title not in titles):
+                links.add(link), titles.add(title)
+                k += 1
+                want.add((g, n, k))
+    df = spark.createDataFrame(rows, "g int, n int, url string, title string")
+    assert {(r["g"], r["n"], r["picked"]) for r in articles.pick(df, ["g"], [F.col("n")], 2).collect()} == want
+
+
+def test_found_and_validated_articles(spark):
+    now = datetime(2026, 1, 2)
+    rows = [(1, "HTTPS://www.A.x/1/?utm_b=2", "One", datetime(2026, 1, 1, 9)), (2, "https://a.x/1", "Two", datetime(2026, 1, 1, 8)), (3, "http://a.x/3", "Three", now), (4, "https://a.x/4", " ", now), (5, "https://a.x/5", "Old", datetime(2025, 12, 31)), (6, "https://news.ft.com/6", "Six", now), (7, None, "x", now)]
+    df = spark.createDataFrame(rows, "n int, url string, title string, at timestamp")
+    got = articles.discovered(df, "url", "title", "at", F.lit(now), [F.col("n")])
+    assert {(r["n"], r["link"], r["domain"]) for r in got.collect()} == {(1, "https://a.x/1", "a.x"), (6, "https://news.ft.com/6", "news.ft.com")}
+    known = got.select("link", F.col("at").alias("effective_at"), articles.source_name(F.col("domain")).alias("source_name"))
+    items = spark.createDataFrame([("g", 1, "https://a.x/1?ref=z", "h", "f", "s"), ("g", 2, "https://news.ft.com/6", "h", "f", "s" * 301), ("g", 3, "https://news.ft.com/6", "h", "", "s"), ("g", 4, "https://news.ft.com/6", "h", "f", "s"), ("g", 5, "https://zz.x/1", "h", "f", "s")], "g string, n int, url string, headline string, fact string, summary string")
+    out = articles.validated(items, known, F.lit(now), [F.col("n")], ["g"], 2).orderBy("n").collect()
+    assert [(r["n"], r["source_name"], r["item"]) for r in out] == [(1, "a.x", 1), (4, "Financial Times", 2)]
+    assert articles.validated(items.limit(0), known, F.lit(now), [F.col("n")], ["g"], 2).count() == 0
 
 
 def test_store(spark, tmp_path):

@@ -72,8 +72,11 @@ def test_transcripts(spark):
     t = [("CEO", None, "Chief", "Hello", None), (None, "Ann", "", "", "Hi "), ("X", None, None, " ", None)]
     df = spark.createDataFrame([(t,)], "t array<struct<speaker: string, name: string, title: string, content: string, text: string>>")
     assert df.select(filings.transcript_text(F.col("t")).alias("x")).first()["x"] == "CEO (Chief): Hello\n\nAnn: Hi"
-    ok = F.lit("Talco earnings call operator " + "x" * 5000)
-    assert spark.range(1).select(filings.looks_like_transcript(ok, F.lit("Talco Inc")).alias("x")).first()["x"]
+    more = spark.createDataFrame([([("Ann Lee, CEO", None, "CEO", "Yes", None), (None, None, "CFO", "No", None), (None, None, None, None, "So")],)], df.schema)
+    assert more.select(filings.transcript_text(F.col("t")).alias("x")).first()["x"] == "Ann Lee, CEO: Yes\n\nCFO: No\n\nSo"
+    ok = lambda said, ticker="TLC", name="Talco Inc": spark.range(1).select(filings.looks_like_transcript(F.lit(said), F.lit(ticker), F.lit(name)).alias("x")).first()["x"]
+    said = "Talco earnings call transcript operator " + "x" * 5000
+    assert ok(said) and ok(said, "talco", "Other") and not ok(said, "ZZZ", "Umco") and not ok(said[:4000]) and not ok(said.replace("operator", "host")) and not ok(said, None, None)
 
 
 def test_streams(spark, tmp_path):
