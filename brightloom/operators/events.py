@@ -143,3 +143,14 @@ def quarterly_count(filings: DataFrame, key: str, report: str, form: str) -> Dat
     last = F.coalesce(F.array_max(F.filter("_annual", lambda d: d < F.col(report))), F.lit(""))
     n = F.size(F.filter("_quarterly", lambda d: (d > last) & (d <= F.col(report))))
     return q.select(*filings.columns, F.concat(F.lit("Q"), F.least(F.lit(3), F.greatest(F.lit(1), n))).alias("counted_quarter"))
+
+
+def in_scope(df: DataFrame, listed: DataFrame, key: str = "ticker") -> DataFrame:
+    """Rows of the listed companies; a row without a company is in no scope."""
+    return df.join(listed.select(key), key, "left_semi")
+
+
+def enriched(documents: DataFrame, by: str, source: str) -> DataFrame:
+    """Of each group with documents of a source that enriches results: their number and the sources, sorted. Sources are a handful, so a group's set is small."""
+    kinds = sorted({*ENRICHMENT_SOURCES, *MIRROR_SOURCES})
+    return documents.where(F.col(source).isin(kinds)).groupBy(by).agg(F.count(F.lit(1)).alias("documents"), F.array_join(F.array_sort(F.collect_set(source)), ",").alias("enrichments"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.plans import documents, problems, star, streams
+from brightloom.plans import documents, problems, reports, sources, star, streams
 
-_MODULES = (problems, documents, star, streams)
+_MODULES = (problems, documents, reports, sources, star, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
