@@ -142,8 +142,8 @@ def to_utc(parsed: DataFrame, key: list[str]) -> DataFrame:
     month = F.expr(f"CAST(year({day}) * 12 + month({day}) - 1 AS INT)")
     rows = parsed.withColumn("region", F.when(F.col("offset_min").isNull() & F.col("epoch_us").isNull(), F.col("region"))).withColumn("month", F.when(F.col("region").isNotNull(), month))
     pairs = rows.select("region", "month").where(F.col("month").isNotNull()).distinct()
-    spans = pairs.mapInPandas(_intervals, "region string, month int, spans array<struct<lo: bigint, hi: bigint, off: bigint>>")
-    joined = rows.join(small(spans, BROADCAST_INTERVALS, pairs.count()), ["region", "month"], "left")
+    spans = stored(pairs.mapInPandas(_intervals, "region string, month int, spans array<struct<lo: bigint, hi: bigint, off: bigint>>"), "intervals")
+    joined = rows.join(small(spans, BROADCAST_INTERVALS), ["region", "month"], "left")
     joined = joined.withColumn("_in", F.expr("filter(spans, s -> s.lo <= local_us AND local_us < s.hi)"))
     before = F.expr("element_at(filter(spans, s -> s.hi <= local_us), -1).off")
     offset = F.when(F.size("_in") > 0, F.col("_in")[0]["off"]).otherwise(before)
@@ -154,7 +154,8 @@ def to_utc(parsed: DataFrame, key: list[str]) -> DataFrame:
 
 def normalise(records: DataFrame, profile: DataFrame, key: list[str], text: str = "text", source: str = "source") -> DataFrame:
     """key, utc_us and reading of every record whose text names a real date or instant; a text without a zone has its source's default zone."""
-    p = profile.select(F.col("source").alias("_source"), F.col("default_zone").alias("_home"), F.col("date_order").alias("_order")).dropDuplicates(["_source"])
+    p = profile.select(F.col("source").alias("_source"), F.col("default_zone").alias("_home"), F.col("date_order").alias("_order"))
+    p = p.groupBy("_source").agg(F.min(F.struct("_home", "_order")).alias("p")).select("_source", "p.*")
     rows = records.select(*key, F.col(text).alias("_text"), F.col(source).alias("_source")).where(F.col("_text").rlike(r"\d")).join(p, "_source", "left")
     parsed = parse(rows, "_text", "_order").withColumn("region", F.coalesce("region", F.when(~F.col("zoned"), F.col("_home"))))
     return to_utc(stored(parsed.select(*key, "epoch_us", "local_us", "offset_min", "region"), "instants"), key)

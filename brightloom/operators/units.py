@@ -27,40 +27,53 @@ BROADCAST_ALIASES = 100_000
 # Unit names by kind, with the common unit's factor as numerator and denominator.
 _UNITS = {
     "per_share": [
-        (1, 1, "us cent per share|cent per share|cents per share|cents a share|cents/share|c per share|¢ per share|¢ a share|¢/share|c/share|cents|¢|c"),
-        (100, 1, "usd per share|usd a share|usd/share|usd /share|usd/sh|dollars per share|dollars a share|dollar per share|$ per share|$ a share|$/share|us$ per share|$|usd|us$|dollars|us dollars"),
+        (1, 1, ["us cent per share", "cent per share", "cents per share", "cents a share", "cents/share", "c per share", "¢ per share", "¢ a share", "¢/share", "c/share", "cents", "¢", "c"]),
+        (100, 1, ["usd per share", "usd a share", "usd/share", "usd /share", "usd/sh", "dollars per share", "dollars a share", "dollar per share", "$ per share", "$ a share", "$/share", "us$ per share", "$", "usd", "us$", "dollars", "us dollars"]),
     ],
     "ratio": [
-        (1, 1, "basis point|basis points|bp|bps"),
-        (100, 1, "%|pct|percent|per cent|percentage"),
-        (10, 1, "‰|per mille|permille|per mil"),
-        (10_000, 1, "fraction|fraction of|ratio|ratio of|ratio (1 = all)|share of|proportion of"),
+        (1, 1, ["basis point", "basis points", "bp", "bps"]),
+        (100, 1, ["%", "pct", "percent", "per cent", "percentage"]),
+        (10, 1, ["‰", "per mille", "permille", "per mil"]),
+        (10_000, 1, ["fraction", "fraction of", "ratio", "ratio of", "ratio (1 = all)", "share of", "proportion of"]),
+    ],
+    "power": [
+        (1, 1000, ["w", "watts", "watt"]),
+        (1, 1, ["kw", "kilowatts", "kilowatt"]),
+        (1000, 1, ["mw", "megawatts", "megawatt"]),
+        (10**6, 1, ["gw", "gigawatts", "gigawatt"]),
+        (10**9, 1, ["tw", "terawatts", "terawatt"]),
     ],
-    "power": [(1, 1000, "w|watts|watt"), (1, 1, "kw|kilowatts|kilowatt"), (1000, 1, "mw|megawatts|megawatt"), (10**6, 1, "gw|gigawatts|gigawatt"), (10**9, 1, "tw|terawatts|terawatt")],
     "storage": [
-        (1, 10**6, "mb|mbyte|megabytes|megabyte"),
-        (1, 1000, "gb|gbyte|gigabytes|gigabyte"),
-        (1, 1, "tb|tbyte|terabytes|terabyte"),
-        (1000, 1, "pb|pbyte|petabytes|petabyte"),
-        (10**6, 1, "eb|ebyte|exabytes|exabyte"),
-        (10**9, 1, "zb|zettabytes|zettabyte"),
+        (1, 10**6, ["mb", "mbyte", "megabytes", "megabyte"]),
+        (1, 1000, ["gb", "gbyte", "gigabytes", "gigabyte"]),
+        (1, 1, ["tb", "tbyte", "terabytes", "terabyte"]),
+        (1000, 1, ["pb", "pbyte", "petabytes", "petabyte"]),
+        (10**6, 1, ["eb", "ebyte", "exabytes", "exabyte"]),
+        (10**9, 1, ["zb", "zettabytes", "zettabyte"]),
+    ],
+    "duration": [
+        (1, 1440, ["min", "mins", "minutes"]),
+        (1, 24, ["h", "hr", "hrs", "hour", "hours"]),
+        (1, 1, ["d", "day", "days"]),
+        (7, 1, ["w", "wk", "wks", "week", "weeks"]),
     ],
-    "duration": [(1, 1440, "min|mins|minutes"), (1, 24, "h|hr|hrs|hour|hours"), (1, 1, "d|day|days"), (7, 1, "w|wk|wks|week|weeks")],
     "area": [
-        (1, 1, "square metre|square metres|square meter|square meters|sqm|sq m|m2"),
-        (10_000, 1, "ha|hectare|hectares"),
-        (10**6, 1, "square kilometres|square kilometers|sq km|km2"),
-        (9_290_304, 10**8, "square foot|square feet|sq ft|sqft|sf|ft2"),
-        (40_468_564_224, 10**7, "ac|acre|acres"),
+        (1, 1, ["square metre", "square metres", "square meter", "square meters", "sqm", "sq m", "m2"]),
+        (10_000, 1, ["ha", "hectare", "hectares"]),
+        (10**6, 1, ["square kilometres", "square kilometers", "sq km", "km2"]),
+        (9_290_304, 10**8, ["square foot", "square feet", "sq ft", "sqft", "sf", "ft2"]),
+        (40_468_564_224, 10**7, ["ac", "acre", "acres"]),
     ],
     "mass": [
-        (1, 1000, "g|gram|grams"),
-        (1, 1, "kg|kgs|kilogram|kilograms"),
-        (1000, 1, "t|ton|tons|tonne|tonnes|metric ton|metric tons"),
-        (45_359_237, 10**8, "lb|lbs|pound|pounds"),
+        (1, 1000, ["g", "gram", "grams"]),
+        (1, 1, ["kg", "kgs", "kilogram", "kilograms"]),
+        (1000, 1, ["t", "ton", "tons", "tonne", "tonnes", "metric ton", "metric tons"]),
+        (45_359_237, 10**8, ["lb", "lbs", "pound", "pounds"]),
+    ],
+    "pieces": [
+        (12, 1, ["dz", "dozen", "dozens"]),
     ],
-    "pieces": [(12, 1, "dz|dozen|dozens")],
-}
+}
 _SCALES = [(1, [""]), (1000, ["thousand", "thousands", "k", "000s", "000"]), (10**6, ["million", "millions", "m", "mn", "mm"]), (10**9, ["billion", "billions", "bn", "b"])]
 _MONEY = ["$", "usd", "us$", "dollars", "us dollars"]
 _PIECES = ["unit", "units", "pieces", "pcs", "piece"]
@@ -72,7 +85,7 @@ def vocabulary() -> list[tuple[str, str, int, int]]:
     out: dict[tuple[str, str], tuple[int, int]] = {}
     for kind, units in _UNITS.items():
         for num, den, names in units:
-            for name in names.split("|"):
+            for name in names:
                 out[kind, qt.fold(name)] = (num, den)
     for factor, words in _SCALES:
         for s in words:
@@ -165,7 +178,8 @@ def _read(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
 def read_quantities(cards: DataFrame, catalog: DataFrame, key: str = "card_seq") -> DataFrame:
     """Every card of a known metric with the numbers and unit spellings of its columns and of its quote."""
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)[\W_]+", " "))
-    kinds = catalog.select(fold("metric").alias("_m"), F.col("quantity_kind").alias("kind"), "common_unit").dropDuplicates(["_m"])
+    kinds = catalog.select(fold("metric").alias("_m"), F.col("quantity_kind").alias("kind"), "common_unit")
+    kinds = kinds.where("_m <> ''").groupBy("_m").agg(F.min(F.struct("kind", "common_unit")).alias("k")).select("_m", "k.*")  # of a metric listed twice, the same in every run
     rows = cards.select(F.col(key).alias("_key"), "metric", "value_num", "value_text", "unit", "quote").where(~blank("metric")).withColumn("_m", fold("metric"))
     return spread(rows).join(kinds, "_m").select("_key", "kind", "common_unit", "value_num", "unit", _read("metric", "value_num", "value_text", "unit", "quote").alias("r")).select("*", "r.*").drop("r")
 

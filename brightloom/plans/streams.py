@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.operators import events as ev
+from brightloom.plans.documents import _EVENT, _PERIODS
 from brightloom.session import table
 from brightloom.streaming import state
 
@@ -56,7 +57,10 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.sessions(table(spark, sf_dir, "events"), "ts", "user_id").select("user_id", "session_start", "n")
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts)::TIMESTAMP AS session_start, max(ts)::TIMESTAMP + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream, over the whole table: the open sessions too, as the last batch's state has them; that state keeps closed ones as well."""
     rows = state.run_to_end(state.sessions(_stream(spark, sf_dir, "events"), "ts", "user_id"), "sessions", "complete")
@@ -64,12 +68,13 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("_batch") == F.lit(last)).drop("_batch")
 
 
-@query()
+@query(f"""
+WITH {_PERIODS}, e AS (SELECT document_key, {_EVENT} AS event_id FROM inferred) SELECT event_id, 1 AS version, count(DISTINCT document_key)::INT AS documents, 'new' AS cause FROM e WHERE event_id IS NOT NULL GROUP BY 1""")
 def stream_event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by their documents as these come in; late ones open a new version."""
+    """Events by their documents as these come in; late ones open a new version. All that is there comes in one batch here, so that each event has one version."""
     d = _stream(spark, sf_dir, "disclosures").withColumn("document_key", ev.document_key())
     keyed = ev.with_event(ev.with_period(d)).select("event_id", "document_key")
-    return state.run_to_end(state.follow_events(keyed), "versions", "update")
+    return state.run_to_end(state.follow_events(keyed), "versions", "update").drop("_batch")
 
 
 @query("""

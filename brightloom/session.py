@@ -34,11 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors: spark.checkpoint.dir of the session; only where it is unset, as in tests, a local one."""
+    """The folder shared by all executors: spark.checkpoint.dir of the session. Only where it is unset and all runs on this machine, as in tests, it is a local one; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.gettempdir()}/brightloom-{os.getuid()}-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
@@ -61,11 +62,26 @@ def drop_stored(spark: SparkSession) -> int:
     return n
 
 
+#: what is estimated to be larger than this is never shuffled only to spread it: it has row groups enough.
+MOST_SPREAD_BYTES = 4 << 30
+
+
+def _has_exchange(plan) -> bool:
+    """Whether a physical plan moves rows between tasks."""
+    if plan.nodeName().endswith("Exchange") or plan.nodeName().endswith("ExchangeExec") or plan.nodeName() == "AdaptiveSparkPlan":
+        return True
+    children = plan.children()
+    return any(_has_exchange(children.apply(i)) for i in range(children.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores before costly work on its rows, where its scan has fewer partitions than there are cores; larger tables, and what is shuffled or joined before, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().executedPlan()
-    if "Exchange" in plan.toString():  # to count its partitions would be to run it
+    execution = df._jdf.queryExecution()
+    plan = execution.executedPlan()
+    if _has_exchange(plan):  # to count its partitions would be to run it
+        return df
+    if int(str(execution.optimizedPlan().stats().sizeInBytes())) > MOST_SPREAD_BYTES:
         return df
     return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
 
@@ -81,7 +97,7 @@ def map_rows(df: DataFrame, keep: list[str], content: list[Column], run, schema:
 
 
 def small(df: DataFrame, most_rows: int, count: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has most_rows rows at most (df should be stored); else unchanged, and the join shuffles."""
+    """df with a broadcast hint if it has most_rows rows at most; else unchanged, and the join shuffles. Without a count given, df is stored before, so that it isn't computed twice."""
     return F.broadcast(df) if (df.count() if count is None else count) <= most_rows else df
 
 

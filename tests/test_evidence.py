@@ -8,8 +8,9 @@ from brightloom.operators import evidence
 
 def test_matching(spark):
     e = spark.createDataFrame([("T1", "T", 2026, "Q1", "2026-03-31"), ("T2", "T", 2026, "Q2", None), ("T2b", "T", 2026, "Q2", None), ("U1", "U", 2026, "Q4", "2026-12-31")], "event_id string, ticker string, fiscal_year int, quarter string, period_end string")
-    c = spark.createDataFrame([(1, "T", "Q1 2026 slides", None), (2, "T", "Q2 2026 slides", None), (3, "U", "slides", date(2027, 1, 10)), (4, "U", "slides", date(2027, 3, 1)), (5, None, "Q1 2026", None)], "k int, ticker string, said string, day date")
-    assert {(r["k"], r["event_id"]) for r in evidence.match_events(c, e, "k", "ticker", "said", "day").collect()} == {(1, "T1"), (3, "U1")}
+    c = spark.createDataFrame([(1, "T", "Q1 2026 slides", None), (2, "T", "Q2 2026 slides", None), (3, "U", "Presentation of 2027-01-20", date(2027, 1, 10)), (4, "U", "Presentation of 2027-01-20", date(2027, 3, 1)), (5, None, "Q1 2026", None), (6, "U", "earnings 2027-01-16", date(2027, 1, 10)), (7, "U", "earnings 2027-01-20", date(2027, 1, 10)), (8, "U", "slides 2027-01-10", date(2027, 1, 10)), (9, "U", None, date(2027, 1, 10)), (10, "T", "Presentation of 2027-01-20", date(2027, 1, 20))], "k int, ticker string, said string, day date")
+    assert {(r["k"], r["event_id"]) for r in evidence.match_events(c, e, "k", "ticker", "said", "day").collect()} == {(1, "T1"), (3, "U1"), (6, "U1")}
+    assert evidence.match_events(c.limit(0), e, "k", "ticker", "said", "day").count() == evidence.match_events(c, e.limit(0), "k", "ticker", "said", "day").count() == 0
 
 
 def test_budgets_and_samples(spark):
@@ -41,5 +42,14 @@ def test_sources(spark):
 def test_reports(spark):
     df = spark.createDataFrame([("[M3|B] • Claim: up | Evidence: call [Risk] end",)], "x string")
     assert df.select(evidence.clean_report(F.col("x")).alias("y")).first()["y"] == "• up；證據：call end"
+    said = lambda x, f: spark.createDataFrame([(x,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
+    assert said(" └ Weak Link: none\nx", evidence.clean_report) == "└ 尚未確認: none\nx" and said(None, evidence.clean_report) == ""
+    assert said("🏢 業務部門 / 客戶ROI: a", evidence.report_headers) == "🏢 業務部門:\n└ 客戶/ROI: a"
+    assert said("a\n\n🎙️ 法說 Q&A: b\nc\n\n⚖️ d", evidence.without_call_section) == "a\n\n⚖️ d" and said("a\n\n🎙️ 法說Q&A：b", evidence.without_call_section) == "a" and said("a", evidence.without_call_section) == "a"
+    docs = spark.createDataFrame([(1, "e", "A & B [XBRL]", "u?a=1&b", (None,)), (2, "e", "A & B", "u?a=1&b", (None,)), (3, "e", "x", None, (None,)), (4, "e", "y", "z", ("ixbrl",))], "n int, k string, title string, url string, metadata struct<format: string>")
+    bodies = spark.createDataFrame([("e", " Body 😀 "), ("f", None), ("g", "x" * 4000)], "k string, body string")
+    got = {r["k"]: r for r in evidence.composed(bodies, docs, "k", "body", [F.col("n")]).collect()}
+    assert got["e"]["message"] == 'Body 😀\n\n資料來源:\n• <a href="u?a=1&amp;b">A &amp; B</a>\n• <a href="">x</a>' and got["e"]["units"] == len(got["e"]["message"]) + 1 and got["e"]["fits"]
+    assert got["f"]["message"] == "\n\n資料來源:\n" and not got["g"]["fits"] and evidence.composed(bodies.limit(0), docs, "k", "body", [F.col("n")]).count() == 0
     a = spark.createDataFrame([(1, datetime(2026, 1, 1)), (2, datetime(2026, 1, 2)), (3, datetime(2026, 1, 2, 12))], "n int, at timestamp").withColumn("g", F.lit(1))
     assert [r["n"] for r in evidence.last_hours(a, "at", F.lit(datetime(2026, 1, 2, 6)), 24, ["g"], 5).collect()] == [2]

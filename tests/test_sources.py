@@ -58,6 +58,11 @@ def test_filing_index(spark, tmp_path):
     assert [(x["form"], x["reportDate"]) for x in r.orderBy("seq").collect()] == [("10-Q", "2026-05-03"), ("8-K", "2026-06-01"), ("10-K", "")]
     kept = filings.with_report_period(filings.in_window(r, "2026-06-03"))
     assert {(x["form"], x["quarter"], x["fiscal_year"]) for x in kept.collect()} == {("10-Q", "Q1", 2027), ("8-K", "Q3", 2027)}
+    rows = [("c", "0930", n, form, f"{end}", "2026-01-01", "") for n, (form, end) in enumerate([("10-K", "2025-09-30"), ("10-Q", "2025-10-31"), ("10-Q", "2025-12-31"), ("10-Q", ""), ("8-K", "2026-01-01"), ("20-F", "2024-09-30")])]
+    q = spark.createDataFrame(rows, "cik string, fiscal_year_end string, seq int, form string, reportDate string, filingDate string, primaryDocDescription string")
+    assert {r["seq"]: r["quarter"] for r in filings.with_report_period(q).collect()} == {0: "Q4", 1: "Q1", 2: "Q1", 3: "Q1", 4: None, 5: "Q4"}  # October is the fourth by its month, so it is counted
+    near = {r["seq"]: (r["reportDate"], r["quarter"]) for r in filings.with_related_period(filings.with_report_period(q)).collect()}
+    assert near[4] == ("2025-09-30", "Q4") and near[1] == ("2025-10-31", "Q1") and filings.with_related_period(filings.with_report_period(q.limit(0))).count() == 0
     named = kept.where("form = '8-K'").withColumn("name", F.lit("x-20260502ex991.htm"))
     p = filings.attachment_period(named, "name", "filingDate").first()
     assert (p["fiscal_year"], p["quarter"], p["period_end"]) == (2027, "Q1", "2026-05-02")
