@@ -20,6 +20,7 @@ INTERNAL_LABEL = r"(?i)\[(?:\s*M[1-5]\s*[|｜]\s*[ABCD]\s*|\s*(?:Driver|Lever|Ca
 REPORT_WORDS = [(r"(?im)^\s*└\s*Weak link\s*:\s*", "└ 尚未確認: "), (r"(?im)^\s*•\s*Claim\s*:\s*", "• "), (r"\s*\|\s*Evidence\s*:\s*", "；證據：")]
 REPORT_HEADERS = [("🏢 業務部門 / 客戶ROI:", "🏢 業務部門:\n└ 客戶/ROI:"), ("🏢 業務部門 / 客戶ROI：", "🏢 業務部門:\n└ 客戶/ROI:")]
 CALL_SECTION = r"(?is)\n{2,}🎙️\s*法說\s*Q&A\s*[:：].*?(?=\n{2,}⚖️|\z)"
+REPORT_TABLE = ("📈 關鍵指標:\n", "\n\n🏢 業務部門:")
 REPORT_UNITS = 4000
 # end of fixed values
 
@@ -120,6 +121,17 @@ def without_call_section(report: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(report, CALL_SECTION, ""), r"(?U)^\s+|\s+$", "")
 
 
+def report_markup(report: Column) -> Column:
+    """A report escaped for markup; the table between its two headings keeps its columns. A report without both headings is only escaped."""
+    opens, closes = REPORT_TABLE
+    at = F.instr(report, opens)
+    rest = F.substring(report, at + len(opens), F.lit(2**30))
+    end = F.instr(rest, closes)
+    table = F.regexp_replace(F.substring(rest, F.lit(1), end - 1), r"(?U)^\s+|\s+$", "")
+    framed = F.concat(escape_html(F.substring(report, F.lit(1), at - 1)), F.lit(f"{opens}<pre>"), escape_html(table), F.lit(f"</pre>{closes}"), escape_html(F.substring(rest, end + len(closes), F.lit(2**30))))
+    return F.when((at > 0) & (end > 0), framed).otherwise(escape_html(report))
+
+
 def composed(reports: DataFrame, documents: DataFrame, key: str, body: str, order: list[Column], title: str = "資料來源") -> DataFrame:
     """(key, message, units, fits) of each report with its sources below: each of them once by title and link, escaped, in order.
 

@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.operators import checks, evidence
-from brightloom.plans.documents import _LATEST, _WS, _squeeze, placed
-from brightloom.session import table
+from brightloom.functions import text
+from brightloom.operators import articles, checks, evidence, extraction, unitize
+from brightloom.plans.documents import _LATEST, _PARTS, _SENTENCES, _SIGNALS, _UNITS, _WS, _squeeze, evidence_units, placed
+from brightloom.session import stored, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -198,3 +199,40 @@ def composed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.composed(bodies, p, "event_id", "body", [F.col("disclosure_seq")]).select("event_id", F.md5("message").alias("digest"), "units", "fits")
 
 
+@query(rf"""
+WITH r AS (SELECT card_seq, 'It is <b> & so' || chr(10) || CASE WHEN card_seq % 3 <> 0 THEN '📈 關鍵指標:' || chr(10) ELSE '' END AS a, '  ' || coalesce(metric, '') || ' | ' || coalesce(unit, '') || ' <' || chr(10) AS b, CASE WHEN card_seq % 5 <> 0 THEN chr(10) || chr(10) || '🏢 業務部門:' ELSE '' END || ' "end"' AS c FROM cards)
+SELECT card_seq, CASE WHEN card_seq % 3 <> 0 AND card_seq % 5 <> 0 THEN 'It is &lt;b&gt; &amp; so' || chr(10) || '📈 關鍵指標:' || chr(10) || '<pre>' || {_escaped(f"regexp_replace(b, '^{_WS}+|{_WS}+$', '', 'g')")} || '</pre>' || chr(10) || chr(10) || '🏢 業務部門: &quot;end&quot;' ELSE {_escaped("a || b || c")} END AS report FROM r""")
+def marked_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports for markup, whose table keeps its columns."""
+    n, empty = F.col("card_seq"), F.lit("")
+    said = F.concat(
+        F.lit("It is <b> & so\n"), F.when(n % 3 != 0, F.lit("📈 關鍵指標:\n")).otherwise(empty), F.lit("  "), F.coalesce("metric", empty), F.lit(" | "), F.coalesce("unit", empty), F.lit(" <\n"),
+        F.when(n % 5 != 0, F.lit("\n\n🏢 業務部門:")).otherwise(empty), F.lit(' "end"'),
+    )
+    return table(spark, sf_dir, "cards").select("card_seq", evidence.report_markup(said).alias("report"))
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, {_PARTS} AS parts FROM documents)),
+f AS (SELECT doc_id, i, length(t)::BIGINT AS size, 1 AS m FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN f.size + 7 + length(p.t) > 3900 THEN length(p.t) ELSE f.size + 7 + length(p.t) END, f.m + (f.size + 7 + length(p.t) > 3900)::INT FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1)
+SELECT p.doc_id, f.m AS message, md5(string_agg(p.t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p.i)) AS digest, (sum(length(p.t) + 7) - 7)::INT AS chars FROM p JOIN f ON f.doc_id = p.doc_id AND f.i = p.i GROUP BY ALL""")
+def split_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs in messages of at most 3,900 characters; no paragraph is split."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.paragraphs(F.col("text")).alias("p"))
+    m = d.select("doc_id", F.posexplode(articles.split_blocks(F.col("p"), 3900, "\n\n---\n\n")).alias("at", "m"))
+    return m.select("doc_id", (F.col("at") + 1).alias("message"), F.md5("m").alias("digest"), F.length("m").alias("chars"))
+
+
+@query(f"""
+WITH RECURSIVE {_UNITS}, s AS (SELECT unit_id, document_key, unnest({_SENTENCES.replace("regexp_replace(c,", "regexp_replace(unit,")}) AS said FROM named_units),
+c AS (SELECT document_key, said, list_filter([{", ".join(f"'{w}'" for w in _SIGNALS)}], lambda w: contains(lower(said), w))[1] AS metric FROM s WHERE regexp_matches(said, '[0-9]'))
+SELECT document_key, metric, CASE WHEN metric IN ('guidance', 'outlook') THEN 'guidance' ELSE 'fact' END AS card_type, count(*) AS cards, count(*) AS backed, md5(string_agg(said, '|' ORDER BY said)) AS digest FROM c WHERE metric IS NOT NULL GROUP BY ALL""")
+def extracted_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards that the client by rules finds in units, by document and metric."""
+    u = stored(evidence_units(spark, sf_dir).where("position > 0"), "units")
+    e = table(spark, sf_dir, "evidence").select("evidence_id", "document_key")
+    units = u.join(e, "evidence_id").select("document_key", F.concat_ws("@", "unit_id", "evidence_id").alias("unit_id"), "unit")  # a document fetched twice has units of one name
+    batch = unitize.batches(u).select("evidence_id", F.concat_ws("@", "unit_id", "evidence_id").alias("unit_id"), "position", "batch")
+    cards, _ = extraction.extract_cards(units, batch, extraction.RuleClient())
+    said = F.md5(F.array_join(F.array_sort(F.collect_list("statement")), "|"))  # of one metric in one document
+    return cards.groupBy("document_key", "metric", "card_type").agg(F.count(F.lit(1)).alias("cards"), F.count_if("backed").alias("backed"), said.alias("digest"))

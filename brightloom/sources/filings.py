@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,45 @@ DISCLOSURE_SCHEMA = (
 )
 
 
+class SourceAdapter(Protocol):
+    """A source of disclosures: what it has of some companies (ticker, cik, name and so on) up to a day, as a DataFrame with columns of DISCLOSURE_SCHEMA."""
+
+    name: str
+
+    def discover(self, companies: DataFrame, day: str) -> DataFrame: ...
+
+
+class FileAdapter:
+    """Disclosures that lie as a JSON array in a file or folder."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "file"):
+        self.spark, self.path, self.name = spark, path, name
+
+    def discover(self, companies: DataFrame, day: str) -> DataFrame:
+        return read_disclosures(self.spark, self.path).join(companies.select("ticker"), "ticker", "left_semi").where(F.coalesce(F.substring("published_at", 1, 10) <= day, F.lit(True)))
+
+
+class IndexAdapter:
+    """Filings of companies by their indexes and the files that these list (accessionNumber, description, document_type, url)."""
+
+    def __init__(self, index: DataFrame, attachments: DataFrame, days: int = 3, name: str = "sec_edgar"):
+        self.index, self.attachments, self.days, self.name = index, attachments, days, name
+
+    def discover(self, companies: DataFrame, day: str) -> DataFrame:
+        placed = with_related_period(with_report_period(records(self.index)))  # periods are told by all of a company's filings, also older ones
+        return documents_of(in_window(placed, day, self.days), self.attachments, companies)
+
+
+def discover_all(adapters: list[SourceAdapter], companies: DataFrame, day: str) -> DataFrame:
+    """What all sources have, with the columns and types of DISCLOSURE_SCHEMA; columns that a source hasn't are null."""
+    want = companies.sparkSession.createDataFrame([], DISCLOSURE_SCHEMA)
+    out = want
+    for a in adapters:
+        found = a.discover(companies, day)
+        out = out.unionByName(found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want.schema]))
+    return out
+
+
 def read_disclosures(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of disclosures, with the fixed schema; missing fields are null."""
     return spark.read.schema(DISCLOSURE_SCHEMA).option("multiLine", True).json(path)
