@@ -6,7 +6,7 @@ import re
 import unicodedata
 from decimal import Decimal
 
-from brightloom.functions.numerals import DIGITS, MINUS, WORDS, digits_value, words_value
+from brightloom.functions.numerals import DIGITS, MINUS, WORD_VALUE, WORDS, digits_value, words_value
 
 _EARLIER = r"(?:a|one) (?:year|quarter|month) (?:earlier|ago|before)|(?:in|for|of) the (?:prior|previous|preceding|year-ago) (?:period|year|quarter)|last (?:year|quarter)"
 #: clauses that give the figure of an earlier period; they are taken out before the current figure is sought.
@@ -22,6 +22,8 @@ QUANTITY = re.compile(
     rf"(?:(?P<dig>{DIGITS})|(?P<word>{WORDS}))(?:\s*(?P<close>\)))?",
     re.I,
 )
+#: Java pattern of texts that may hold a quantity at all: a digit or the beginning of a number word.
+SOME_NUMBER = r"(?iU)\d|\b(?:" + "|".join(WORD_VALUE) + ")"
 #: where a unit that follows its number ends.
 _UNIT_END = re.compile(
     r"\s*(?:[,;:!?()\"“”]|\.(?=\s*(?:$|[A-Z]))|\s[—–-]\s|\s+(?:in|for|at|on|from|to|with|as|and|or|by|of|over|during|after|against|than|"
@@ -30,7 +32,7 @@ _UNIT_END = re.compile(
 _RATIO = re.compile(r"\b(?:a\s+)?(fraction|ratio|share|proportion) of\s*$", re.I)
 _ABOUT = re.compile(r"^\s*(?:c\.|ca\.?|approx\.?|approximately|about|around|roughly|some|~|≈)\s*", re.I)
 #: a table heading before the figure: "(dollars in thousands) Net revenue 9" or "USD, amounts in millions: Net revenue 9".
-HEADING = re.compile(r"^\s*(?:\(([^()]*)\)|([^:]{1,60}):)\s*(.*)$", re.S)
+HEADING = re.compile(r"^\s*(?:\(([^()]*)\)|([^:]+):)\s*(.*)$", re.S)
 
 
 def fold(text: str) -> str:

@@ -181,7 +181,8 @@ def read_quantities(cards: DataFrame, catalog: DataFrame, key: str = "card_seq")
     kinds = catalog.select(fold("metric").alias("_m"), F.col("quantity_kind").alias("kind"), "common_unit")
     kinds = kinds.where("_m <> ''").groupBy("_m").agg(F.min(F.struct("kind", "common_unit")).alias("k")).select("_m", "k.*")  # of a metric listed twice, the same in every run
     rows = cards.select(F.col(key).alias("_key"), "metric", "value_num", "value_text", "unit", "quote").where(~blank("metric")).withColumn("_m", fold("metric"))
-    return spread(rows).join(kinds, "_m").select("_key", "kind", "common_unit", "value_num", "unit", _read("metric", "value_num", "value_text", "unit", "quote").alias("r")).select("*", "r.*").drop("r")
+    quote = F.when(F.col("quote").rlike(qt.SOME_NUMBER), F.col("quote"))  # a quote without a digit or a number word holds no quantity, and needn't leave the JVM
+    return spread(rows).join(kinds, "_m").select("_key", "kind", "common_unit", "value_num", "unit", _read("metric", "value_num", "value_text", "unit", quote).alias("r")).select("*", "r.*").drop("r")
 
 
 @arrow("double")
