@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.session import map_rows
@@ -174,15 +175,25 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_sent: set[tuple[str, str]] = set()
 
 
-def encoder(name: str, folder: str = TOKENIZERS) -> Encoder:
-    path = os.path.join(folder, f"{name}.tiktoken")
+def encoder(name: str, folder: str | None = TOKENIZERS) -> Encoder:
+    """The encoder of a vocabulary in a folder; without one, of a vocabulary that was sent to this worker."""
+    path = os.path.join(folder, f"{name}.tiktoken") if folder else SparkFiles.get(f"{name}.tiktoken")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def send(spark: SparkSession, name: str, folder: str) -> None:
+    """Sends a vocabulary (some megabytes) to the executors, once in an application, so that only the driver needs the folder."""
+    key = (spark.sparkContext.applicationId, f"{folder.rstrip('/')}/{name}.tiktoken")
+    if key not in _sent:
+        spark.sparkContext.addFile(key[1])
+        _sent.add(key)
+
+
 def _batches(texts: pd.Series, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of some four million characters, so that working memory doesn't grow with the batch."""
     start = size = 0
@@ -197,9 +208,10 @@ def _batches(texts: pd.Series, most: int = 4_000_000) -> Iterator[tuple[int, int
 
 def encode(rows: DataFrame, key: str, text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(key, ids) of every row."""
+    send(rows.sparkSession, name, folder)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(name, folder)
+        e = encoder(name, None)
         for pdf in parts:
             for a, b in _batches(pdf["_t"]):
                 yield pd.DataFrame({key: pdf[key].iloc[a:b], "ids": e.texts([t if isinstance(t, str) else None for t in pdf["_t"].iloc[a:b]])})
@@ -209,9 +221,10 @@ def encode(rows: DataFrame, key: str, text: str = "text", name: str = "byte_bpe_
 
 def lengths(rows: DataFrame, key: str, text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(key, n_tokens) of every row; ids don't leave the workers."""
+    send(rows.sparkSession, name, folder)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(name, folder)
+        e = encoder(name, None)
         for pdf in parts:
             for a, b in _batches(pdf["_t"]):
                 yield pd.DataFrame({key: pdf[key].iloc[a:b], "n_tokens": [len(x) for x in e.texts([t if isinstance(t, str) else None for t in pdf["_t"].iloc[a:b]])]})
