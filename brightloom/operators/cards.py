@@ -81,8 +81,8 @@ def select(deduped: DataFrame, by: str, seq: str = "card_seq", most: int = MOST_
 
 
 def report_order() -> list[Column]:
-    """The order of selected cards in a report."""
-    return [text.topic_rank(F.col("topic_key")), F.desc("mat"), F.coalesce("unit_id", F.lit(""))]
+    """The ascending keys of the order of selected cards in a report: the topic, the most material first, the unit."""
+    return [text.topic_rank(F.col("topic_key")), -F.col("mat"), F.coalesce("unit_id", F.lit(""))]
 
 
 def diagnostics(raw: DataFrame, deduped: DataFrame, selected: DataFrame, by: str) -> DataFrame:

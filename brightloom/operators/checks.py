@@ -5,6 +5,9 @@ Null texts have no lines; a report without lines has no row in a check of lines;
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,20 +151,24 @@ def shared_pairs(sectioned: DataFrame, key: str, metrics: list[str] | None, a: s
     return rows.where(F.col("section") == a).select(key, "metric", "number").intersect(rows.where(F.col("section") == b).select(key, "metric", "number"))
 
 
+def _plain(words: str) -> str:
+    """The normal form of a fixed text, as text.squeeze_space gives it, without a colon at its end."""
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", words).casefold()).strip().rstrip(":").rstrip()
+
+
 def heading_of(line: Column, headings: list[str] | None = None) -> Column:
     """The heading that a line is, but for case, blanks, forms of characters and a colon at its end; null for other lines."""
     plain = F.rtrim(F.regexp_replace(text.squeeze_space(line), r":+$", ""))
-    out = F.lit(None).cast("string")
-    for h in reversed(HEADINGS if headings is None else headings):
-        out = F.when(plain == F.rtrim(F.regexp_replace(text.squeeze_space(F.lit(h)), r":+$", "")), F.lit(h)).otherwise(out)
-    return out
+    return F.create_map(*[F.lit(x) for h in (HEADINGS if headings is None else headings) for x in (_plain(h), h)])[plain]  # the line's form is made once
 
 
 def structure_issues(line_rows: DataFrame, key: str, headings: list[str] | None = None, old: list[str] | None = None) -> DataFrame:
     """Headings that a report lacks, has in another order or twice, and older ones that it holds. Only heading lines are gathered."""
     headings, old = HEADINGS if headings is None else headings, OLD_HEADINGS if old is None else old
     bare = F.regexp_replace("line", f"^{HEADING_EMOJI}", "")
-    rows = line_rows.select(key, "line_no", heading_of(F.col("line"), headings).alias("h"), heading_of(bare, old).alias("o"))
+    longest = max(map(len, (*headings, *old))) + 40
+    short = F.when(F.length("line") <= longest, F.col("line"))  # a heading with some emoji, blanks and a colon; longer lines are none
+    rows = line_rows.select(key, "line_no", heading_of(short, headings).alias("h"), heading_of(F.when(short.isNotNull(), bare), old).alias("o"))
     docs = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("h").isNotNull(), F.struct("line_no", "h")))).alias("found"), F.array_sort(F.collect_set("o")).alias("old"))
     docs = docs.select(key, F.transform("found", lambda x: x["h"]).alias("found"), "old")
     all_ = F.array(*map(F.lit, headings))
@@ -182,7 +189,7 @@ def uninterpreted(sectioned: DataFrame, key: str, section: str, marks: list[str]
     data = sectioned.where(F.col("section") == section).select(key, "line_no", "line", text.squeeze_space(F.regexp_replace("line", r"^[•-]+\s*", "")).alias("_low")).where(F.size(text.number_tokens(F.col("line"))) > 0)
     row = F.col("line").contains("|")
     tables = data.where(row).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(key, F.lit(None).cast("long").alias("line_no"), F.lit("raw_table").alias("issue"))
-    said = text.contains_any(F.col("_low"), [m.casefold() for m in (READ_THROUGH if marks is None else marks)]) | (F.col("_low") == text.squeeze_space(F.lit(CONSENSUS_NOTE)))
+    said = text.contains_any(F.col("_low"), [m.casefold() for m in (READ_THROUGH if marks is None else marks)]) | (F.col("_low") == _plain(CONSENSUS_NOTE))
     return data.where(~row & ~said).select(key, F.col("line_no").cast("long").alias("line_no"), F.lit("number_without_meaning").alias("issue")).unionByName(tables)
 
 

@@ -32,14 +32,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "posi
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))  # at most `parts` rows a group
     offsets = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
     inner = F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*order))
-    rows, k = sliced.withColumn("_at", inner), [F.col(c) for c in keys]
+    rows = sliced.withColumn("_at", inner)
     same = F.col("a._slice") == F.col("b._slice")
     for c in keys:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    del k
     return rows.alias("a").join(offsets.alias("b"), same).select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._at") + F.col("b._before")).cast("long").alias(name))
-
-
-def distinct_in_order(values: Column) -> Column:
-    """The distinct values of an array in the order in which they first occur."""
-    return F.array_distinct(values)

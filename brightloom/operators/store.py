@@ -70,7 +70,15 @@ def stages_to_run(wanted: DataFrame, done: DataFrame, version: int) -> DataFrame
 
 
 def merge_parts(parts: DataFrame, key: str, seq: str, lists: list[str], scalars: list[str]) -> DataFrame:
-    """Partial results as one: lists one after another with repeats removed, the first of them kept; of scalars, the first that isn't empty."""
+    """Partial results as one: lists one after another with repeats removed, the first of them kept; of scalars, the first that isn't empty.
+
+    Values of lists are made distinct on the map side before they are gathered, so that what a key holds in the end is its distinct values; a key without lists has an empty one."""
     first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col(seq))).alias(c) for c in scalars]
-    joined = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(seq).alias("s"), F.col(c).alias("v"))))), lambda x: x["v"]))).alias(c) for c in lists]
-    return parts.groupBy(key).agg(*first, *joined)
+    out = parts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *first)
+    for c in lists:
+        each = parts.select(key, F.col(seq).alias("_s"), F.posexplode(c).alias("_p", "_v"))
+        once = each.groupBy(key, "_v").agg(F.min(F.struct("_s", "_p")).alias("_at"))
+        merged = once.groupBy(F.col(key).alias("_k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias(c))
+        kind = parts.schema[c].dataType
+        out = out.join(merged, out[key].eqNullSafe(merged["_k"]), "left").drop("_k").withColumn(c, F.coalesce(c, F.array().cast(kind)))
+    return out.select(key, *scalars, *lists)

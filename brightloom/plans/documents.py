@@ -78,8 +78,8 @@ _TERM_HITS = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w
 
 
 @query(rf"""
-SELECT doc_id, round(({_TERM_HITS}) * 4 + least(len(regexp_extract_all(text, '(?:^|{_EDGE})\d[\d,]*(?:\.\d+)?%?')), 40) * 0.6
-  + len(regexp_extract_all(regexp_replace(lower(text), '({_EDGE})', '\1\1', 'g'), '(?:^|{_EDGE})(?:q[1-4]|fy(?:\s\s)?20\d{{2}}|20\d{{2}})(?:$|{_EDGE})')) * 0.5, 4) AS score
+SELECT doc_id, round((({_TERM_HITS}) * 4 + least(len(regexp_extract_all(text, '(?:^|{_EDGE})\d[\d,]*(?:\.\d+)?%?')), 40) * 0.6
+  + len(regexp_extract_all(regexp_replace(lower(text), '({_EDGE})', '\1\1', 'g'), '(?:^|{_EDGE})(?:q[1-4]|fy(?:\s\s)?20\d{{2}}|20\d{{2}})(?:$|{_EDGE})')) * 0.5)::DOUBLE, 4) AS score
 FROM documents WHERE text IS NOT NULL""")
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.round(text.page_score(F.col("text")), 4).alias("score"))
@@ -499,6 +499,17 @@ def selected_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.select(stored(cards.dedupe(ranked_cards(spark, sf_dir), ["ticker"], keep=cards.SELECTION), "deduped"), "ticker").select("ticker", "card_seq", "why")
 
 
+@query(f"""
+WITH {_SELECTED}, s AS (SELECT ticker, card_seq FROM flagged WHERE must UNION ALL SELECT ticker, card_seq FROM quota UNION ALL SELECT ticker, card_seq FROM fill)
+SELECT s.ticker, s.card_seq, row_number() OVER (PARTITION BY s.ticker ORDER BY {_TOPIC_RANK}, mat DESC, coalesce(unit_id, ''), s.card_seq)::INT AS place FROM s JOIN deduped d ON d.card_seq = s.card_seq""")
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected cards in the order of their company's report: by topic, the most material first."""
+    chosen = cards.select(stored(cards.dedupe(ranked_cards(spark, sf_dir), ["ticker"], keep=cards.SELECTION), "deduped"), "ticker")
+    topic, mat, unit = cards.report_order()
+    keyed = chosen.select("ticker", "card_seq", topic.alias("topic"), mat.alias("mat"), unit.alias("unit"))
+    return numbered(keyed, ["ticker"], ["topic", "mat", "unit", "card_seq"], "place").select("ticker", "card_seq", F.col("place").cast("int").alias("place"))
+
+
 @query(f"WITH {_DEDUPED} SELECT ticker, topic_key AS topic, count(*) AS cards FROM deduped GROUP BY ALL")
 def topic_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.inventory(cards.dedupe(ranked_cards(spark, sf_dir), ["ticker"], keep=["topic"]), ["ticker"])
@@ -565,6 +576,16 @@ def missing_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.quotes_missing(table(spark, sf_dir, "cards"), table(spark, sf_dir, "evidence"))
 
 
+@query(f"""
+WITH m AS (SELECT c.card_seq, any_value(c.ticker) AS ticker FROM cards c JOIN evidence e USING (document_key) WHERE c.quote IS NOT NULL AND length({_strip("c.quote")}) >= 16 GROUP BY 1 HAVING NOT bool_or(contains({_strip("e.text")}, {_strip("c.quote")})))
+SELECT * FROM (SELECT ticker, card_seq, row_number() OVER (PARTITION BY ticker ORDER BY card_seq)::INT AS place FROM m) WHERE place <= 30""")
+def quote_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first thirty cards of each company whose quote isn't in the evidence of their document."""
+    c = table(spark, sf_dir, "cards")
+    lost = cards.quotes_missing(c, table(spark, sf_dir, "evidence")).join(c.select("card_seq", "ticker"), "card_seq")
+    return cards.first_issues(lost, ["ticker"], [F.col("card_seq")]).select("ticker", "card_seq", "place")
+
+
 _FACTS = """facts AS (
   SELECT card_seq, coalesce(low, CASE WHEN card_seq % 5 = 0 THEN value_num END) AS low, CASE WHEN card_seq % 3 = 0 THEN high ELSE midpoint END AS midpoint, high, guidance_type, quote, reconciliation,
     CASE WHEN card_seq % 2 = 0 THEN 'Adjusted ' || metric ELSE metric END AS metric, CASE WHEN card_seq % 7 = 0 THEN 'standard_fcf' ELSE metric_type END AS metric_type FROM cards)"""

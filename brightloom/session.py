@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,15 +55,31 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Removes the tables that this process has stored; results that read them must have been computed. Gives their number."""
+def _delete(jvm, conf) -> int:
     n = 0
     while _stored:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+        p = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        n += bool(p.getFileSystem(conf).delete(p, True))
     return n
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Removes the tables that this process has stored; results that read them must have been computed. Gives their number.
+
+    What is left when the process ends is removed then: until then, results that are lazy may read it."""
+    return _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@atexit.register
+def _drop_at_exit() -> None:
+    gateway = SparkContext._gateway
+    if _stored and gateway is not None:
+        try:
+            _delete(gateway.jvm, gateway.jvm.org.apache.hadoop.conf.Configuration())
+        except Exception:  # noqa: BLE001 - the JVM may be gone, and nothing depends on this
+            _stored.clear()
+
+
 #: what is estimated to be larger than this is never shuffled only to spread it: it has row groups enough.
 MOST_SPREAD_BYTES = 4 << 30
 
