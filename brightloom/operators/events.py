@@ -64,10 +64,14 @@ def with_event(df: DataFrame) -> DataFrame:
     return df.withColumn("event_id", periods.event_key(F.col("ticker"), F.col("inferred_year"), F.col("inferred_quarter"), F.col("period_end")))
 
 
-def suppress_mirrors(df: DataFrame, seq: str) -> DataFrame:
-    """Documents that aren't a mirror of an earlier primary document of their event with the same title."""
+def suppress_mirrors(df: DataFrame, seq: str, earlier: DataFrame | None = None) -> DataFrame:
+    """Documents that aren't a mirror of an earlier primary document of their event with the same title.
+
+    earlier: documents of events from before, with the same columns; they count as primary documents but don't come out."""
     keyed = df.withColumn("_title", text.title_key(F.col("title")))
-    primary = keyed.where(~F.col("source").isin(MIRROR_SOURCES) & (F.coalesce(F.col("metadata.format"), F.lit("")) != "ixbrl") & F.col("event_id").isNotNull())
+    names = ["event_id", "_title", "source", "metadata", seq]
+    all_ = keyed.select(*names) if earlier is None else keyed.select(*names).unionByName(earlier.withColumn("_title", text.title_key(F.col("title"))).select(*names))
+    primary = all_.where(~F.col("source").isin(MIRROR_SOURCES) & (F.coalesce(F.col("metadata.format"), F.lit("")) != "ixbrl") & F.col("event_id").isNotNull())
     firsts = primary.groupBy("event_id", "_title").agg(F.min(seq).alias("_first"))
     joined = keyed.join(firsts, ["event_id", "_title"], "left")
     mirror = F.col("source").isin(MIRROR_SOURCES) & F.coalesce(F.col("_first") < F.col(seq), F.lit(False))
@@ -86,14 +90,14 @@ def form_events(df: DataFrame, seq: str) -> DataFrame:
     return found.select("event_id", "ticker", keys.alias("document_keys"), F.size(keys).cast("long").alias("documents"), F.col("f.k").alias("first_key"), F.col("f.y").alias("fiscal_year"), F.col("f.q").alias("quarter"), F.col("f.e").alias("period_end"), "last_seq")
 
 
-def outcomes(df: DataFrame, known: DataFrame, patterns: DataFrame, seq: str) -> DataFrame:
+def outcomes(df: DataFrame, known: DataFrame, patterns: DataFrame, seq: str, earlier: DataFrame | None = None) -> DataFrame:
     """What becomes of each document on the way in: unlisted, not_results, seen, ungroupable, mirror or new.
 
-    known: (document_key) already stored. patterns: (ticker, patterns) of title words that also count as results."""
+    known: (document_key) already stored. earlier: stored documents that mirrors may be of. patterns: (ticker, patterns) of title words that also count as results."""
     d = df.join(patterns.select("ticker", "patterns"), "ticker", "left").join(known.select("document_key").distinct().withColumn("_known", F.lit(True)), "document_key", "left")
     results = (text.classify_title(F.col("title")) != "other") | F.coalesce(F.exists("patterns", lambda p: F.lower("title").contains(p)), F.lit(False))
     d = d.withColumn("_results", results)
-    kept = suppress_mirrors(d.where(F.col("_known").isNull() & F.col("_results")).select(*df.columns), seq).select(F.col(seq), F.lit(True).alias("_kept"))
+    kept = suppress_mirrors(d.where(F.col("_known").isNull() & F.col("_results")).select(*df.columns), seq, earlier).select(F.col(seq), F.lit(True).alias("_kept"))
     d = d.join(kept, seq, "left")
     label = F.when(F.coalesce(F.col("ticker"), F.lit("")) == "", "unlisted").when(~F.col("_results"), "not_results").when(F.col("_known"), "seen").when(F.col("event_id").isNull(), "ungroupable").when(F.col("_kept"), "new").otherwise("mirror")
     return d.select(seq, "document_key", label.alias("outcome"))
