@@ -310,7 +310,7 @@ def _machine(x: np.ndarray, doc: np.ndarray, mine: np.ndarray, rounds: int, epoc
         k = np.concatenate([chosen, none])
         y = np.repeat([1.0, 0.0], [len(chosen), len(none)])
         m = np.where(y == 1, min(20.0, max(1.0, 0.25 * len(none) / max(1, len(chosen)))), 1.0)
-        fitted = _fit(x[k], y, m, epochs, seed + r)
+        fitted = _fit(x[k], y, m, epochs if r == rounds else 2, seed + r)  # while windows are still chosen, a rough fit does
         if r == rounds:
             return fitted
         z = _logit(x[inside], fitted)
