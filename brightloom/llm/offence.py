@@ -387,8 +387,8 @@ def train_on(sample: DataFrame) -> Machine:
             if got is not None:
                 yield pd.DataFrame({"category": [c], "bias": [float(got[0])], "weight": [got[1].astype(np.float32).tobytes()], "factor": [got[2].astype(np.float32).tobytes()]})
 
-    jobs = sample.select("doc_id", F.explode(F.array(*map(F.lit, CATEGORIES))).alias("category"), "cats", "words").withColumn("has", F.array_contains("cats", F.col("category"))).drop("cats")
-    spread_out = jobs.repartitionByRange(len(CATEGORIES), "category")
+    jobs = sample.select("doc_id", F.posexplode(F.array(*map(F.lit, CATEGORIES))).alias("n", "category"), "cats", "words").withColumn("has", F.array_contains("cats", F.col("category"))).drop("cats")
+    spread_out = jobs.repartitionById(len(CATEGORIES), "n").select("doc_id", "category", "has", "words")
     got = {r["category"]: r for r in spread_out.mapInPandas(run, "category string, bias double, weight binary, factor binary").collect()}  # a row a category
     return _joined([(got[c]["bias"], np.frombuffer(got[c]["weight"], np.float32), np.frombuffer(got[c]["factor"], np.float32).reshape(-1, FACTORS)) if c in got else None for c in CATEGORIES])
 
