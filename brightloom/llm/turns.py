@@ -257,10 +257,58 @@ class SemiMarkov:
             j = int(back[j])
         return out[::-1]
 
-    def gradient(self, x: np.ndarray, words: np.ndarray, truth: list[int], spans: list | None = None) -> tuple[float, np.ndarray]:
+    def prepared(self, words: np.ndarray, truth: list[int]) -> list | np.ndarray:
+        """What gradient needs of a transcript whatever the weights are: the features of all segments as one array [i, j - 1] where openings are no more than BAND, else those of spans."""
+        n = len(words) - 1
+        if n > self.BAND:
+            return list(self.spans(words, truth))
+        i, j = np.arange(n)[:, None], np.arange(1, n + 1)[None, :]
+        d = np.maximum(words[j] - words[i], 0)
+        return np.stack([d == 0, np.log1p(d), np.log1p(np.maximum(j - i - 1, 0))], axis=2).astype(float)
+
+    def _whole(self, x: np.ndarray, segs: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log sums over all segmentations of some transcripts, and their gradient by shares, negated. x[d, i]: start features, segs[d, i, j - 1]: segment features, n[d]: openings; rows beyond n are padding."""
+        f, most = len(FEATURES), segs.shape[1]
+        at = np.arange(most)
+        real = (at[:, None] <= at[None, :]) & (at[None, :] < n[:, None])[:, None, :]  # a segment from i ends before an opening j > i
+        s = np.where(real, (x @ self.weights[:f])[:, :, None] + segs @ self.weights[f:], -np.inf)
+        docs = np.arange(len(n))
+        alpha, beta = np.zeros((len(n), most + 1)), np.full((len(n), most + 1), -np.inf)  # alpha[:, i] includes the way that skips all
+        for j in range(1, most + 1):
+            t = alpha[:, :j] + s[:, :j, j - 1]
+            m = np.maximum(t.max(axis=1), 0.0)
+            alpha[:, j] = m + np.log(np.exp(t - m[:, None]).sum(axis=1) + np.exp(-m))
+        beta[docs, n] = 0.0
+        for i in range(most - 1, -1, -1):
+            inside = i < n
+            t = s[inside, i, i:] + beta[inside, i + 1 :]
+            m = t.max(axis=1)
+            beta[inside, i] = m + np.log(np.exp(t - m[:, None]).sum(axis=1))
+        z = alpha[docs, n]
+        p = np.where(real, np.exp(np.clip(alpha[:, :most, None] + s + beta[:, None, 1:] - z[:, None, None], -50, 0)), 0.0) * share[:, None, None]
+        return z, np.concatenate([-np.tensordot(p.sum(axis=2), x, 2), -np.tensordot(p, segs, 3)])
+
+    def gradient(self, x: np.ndarray, words: np.ndarray, truth: list[int], spans: list | np.ndarray | None = None) -> tuple[float, np.ndarray]:
         """Log likelihood of a segmentation and its gradient, by forward and backward sums."""
         n, f = len(x), len(FEATURES)
-        spans = list(self.spans(words, truth)) if spans is None else spans
+        spans = self.prepared(words, truth) if spans is None else spans
+        if isinstance(spans, np.ndarray):
+            zs, g = self._whole(x[None], spans[None], np.array([n]), np.ones(1))
+            z = float(zs[0])
+        else:
+            z, g = self._banded(x, spans)
+        score = 0.0
+        w, v = self.weights[:f], self.weights[f:]
+        for a, b in zip(truth, [*truth[1:], n]):
+            s = self.segments(words, np.array([a]), b)[0]
+            score += x[a] @ w + s @ v
+            g[:f] += x[a]
+            g[f:] += s
+        return score - z, g
+
+    def _banded(self, x: np.ndarray, spans: list) -> tuple[float, np.ndarray]:
+        """The same as _whole over the segments in spans."""
+        n, f = len(x), len(FEATURES)
         rows = list(self.lattice(x, spans))
         alpha = np.zeros(n + 1)  # alpha[i] includes the way that skips all
         for j, i, s in rows:
@@ -280,25 +328,36 @@ class SemiMarkov:
             opened[i] += p
             g[f:] -= p @ seg
         g[:f] -= opened @ x
-        score = 0.0
-        w, v = self.weights[:f], self.weights[f:]
-        for a, b in zip(truth, [*truth[1:], n]):
-            s = self.segments(words, np.array([a]), b)[0]
-            score += x[a] @ w + s @ v
-            g[:f] += x[a]
-            g[f:] += s
-        return score - z, g
+        return z, g
 
     def fit(self, data: list[tuple[np.ndarray, np.ndarray, list[int]]], rounds: int = 40, prior: float = 0.02) -> SemiMarkov:
-        """Gradient steps with momentum, drawn to the default weights."""
+        """Gradient steps with momentum, drawn to the default weights. Transcripts with a like number of openings go together."""
         m, s = np.zeros_like(self.weights), np.zeros_like(self.weights)
-        w = self.weights.copy()
-        known = [list(self.spans(words, truth)) for _, words, truth in data]
+        w, f = self.weights.copy(), len(FEATURES)
+        told = np.zeros_like(w)  # features of the true segmentations, whatever the weights are
+        buckets: dict[int, list] = {}
+        far = []
+        for x, words, truth in data:
+            share = 1 / max(1, len(truth)) / len(data)
+            for a, b in zip(truth, [*truth[1:], len(x)]):
+                told += share * np.concatenate([x[a], self.segments(words, np.array([a]), b)[0]])
+            if len(x) > self.BAND:
+                far.append((x, self.prepared(words, truth), share))
+            elif len(x):
+                buckets.setdefault(-(-len(x) // 16), []).append((x, self.prepared(words, truth), share))
+        padded = []
+        for k, docs in buckets.items():
+            xs, segs = np.zeros((len(docs), 16 * k, f)), np.zeros((len(docs), 16 * k, 16 * k, len(SEGMENT)))
+            for d, (x, seg, _) in enumerate(docs):
+                xs[d, : len(x)], segs[d, : len(x), : len(x)] = x, seg
+            padded.append((xs, segs, np.array([len(x) for x, _, _ in docs]), np.array([c for _, _, c in docs])))
         for r in range(1, rounds + 1):
             self.weights = w
-            g = -prior * (w - DEFAULT)
-            for (x, words, truth), spans in zip(data, known):
-                g = g + self.gradient(x, words, truth, spans)[1] / max(1, len(truth)) / max(1, len(data))
+            g = told - prior * (w - DEFAULT)
+            for batch in padded:
+                g = g + self._whole(*batch)[1]
+            for x, spans, share in far:
+                g = g + share * self._banded(x, spans)[1]
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             w = w + 0.08 * (m / (1 - 0.9**r)) / (np.sqrt(s / (1 - 0.99**r)) + 1e-6)
         self.weights = w

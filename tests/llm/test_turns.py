@@ -137,6 +137,13 @@ def test_training_raises_the_likelihood():
     assert of_data(turns.SemiMarkov().fit(data, rounds=15)) > before
 
 
+def test_both_ways_of_summing_agree():
+    for x, words, truth in turns.training_rows([(t, "T") for t in LAYOUTS[1:5]], ROSTER):
+        m = turns.SemiMarkov()
+        a, b = m.gradient(x, words, truth), m.gradient(x, words, truth, list(m.spans(words, truth)))
+        assert abs(a[0] - b[0]) < 1e-9 and abs(a[1] - b[1]).max() < 1e-9
+
+
 def test_gradient_is_the_slope():
     x, words, truth = turns.training_rows([(LAYOUTS[2], "T")], ROSTER)[0]
     m = turns.SemiMarkov()
