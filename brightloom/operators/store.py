@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 from brightloom.operators.groups import first_rows
 
@@ -53,11 +54,19 @@ class Store:
         return self.read(name)
 
 
+def _written(c: Column, kind: DataType) -> Column:
+    """A struct, or an array of them, as text: fields parted by U+0002 and entries by U+0003, nulls as nothing."""
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.array_join(F.transform(c, lambda x: _written(x, kind.elementType)), "\u0003"), F.lit(""))
+    return F.concat_ws("\u0002", *[F.coalesce(c[f.name].cast("string"), F.lit("")) for f in kind.fields])
+
+
 def fingerprint(evidence: DataFrame, by: list[str]) -> DataFrame:
     """A digest of each group's documents that doesn't depend on their order: texts, facts and metadata of each, by key.
 
     Documents are digested alone and the digests added up, 32 bits at a time, so that a group of any size is a sum."""
-    one = F.sha2(F.concat_ws("\u0001", "document_key", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256), F.coalesce(F.to_json("structured_facts"), F.lit("")), F.coalesce(F.to_json("metadata"), F.lit(""))), 256)
+    told = lambda c: _written(F.col(c), evidence.schema[c].dataType)
+    one = F.sha2(F.concat_ws("\u0001", "document_key", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256), told("structured_facts"), told("metadata")), 256)
     parts = [F.sum(F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"s{i}") for i in range(8)]
     sums = evidence.withColumn("_d", one).groupBy(*by).agg(F.count(F.lit(1)).alias("documents"), *parts)
     return sums.select(*by, "documents", F.sha2(F.concat_ws(",", "documents", *[f"s{i}" for i in range(8)]), 256).alias("fingerprint"))

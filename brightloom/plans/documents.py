@@ -733,7 +733,14 @@ def structured_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("concept", "unit").agg(count().alias("facts"), F.count_distinct("evidence_id").alias("documents"))
 
 
-@query()
+_META = ", ".join(f"coalesce(metadata.{c}::VARCHAR, '')" for c in ("source", "document_kind", "raw_chars", "extracted_chars", "truncated", "selection_mode", "retrieval_excerpt", "provenance", "qualitative_only"))
+_FACT = ", ".join(f"coalesce(x.{c}, '')" for c in ("concept", "value", "context", "unit", "scale", "source_file"))
+_SUMS = ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8))
+
+
+@query(f"""
+WITH d AS (SELECT metadata.source AS source, sha256(concat_ws(chr(1), document_key, coalesce(title, ''), coalesce(url, ''), sha256(coalesce(text, '')), coalesce(array_to_string(list_transform(structured_facts, lambda x: concat_ws(chr(2), {_FACT})), chr(3)), ''), concat_ws(chr(2), {_META}))) AS h FROM evidence)
+SELECT source, count(*) AS documents, sha256(concat_ws(',', count(*)::VARCHAR, {_SUMS})) AS fingerprint FROM d GROUP BY 1""")
 def evidence_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of each source's evidence that doesn't depend on order."""
     return store.fingerprint(table(spark, sf_dir, "evidence").withColumn("source", F.col("metadata.source")), ["source"])
