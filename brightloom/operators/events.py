@@ -31,8 +31,8 @@ def latest_deliveries(disclosures: DataFrame) -> DataFrame:
 
 def with_period(df: DataFrame) -> DataFrame:
     """Adds inferred_year and inferred_quarter by the document's own fields and its title."""
-    year, quarter = periods.period_of(F.col("title"), F.col("fiscal_year"), F.col("quarter"))
-    return df.withColumn("inferred_year", year).withColumn("inferred_quarter", quarter)
+    year, quarter = periods.period_of(F.col("_folded"), F.col("fiscal_year"), F.col("quarter"))
+    return df.withColumn("_folded", text.folded(F.col("title"))).select(*[c for c in df.columns if c not in ("inferred_year", "inferred_quarter")], year.alias("inferred_year"), quarter.alias("inferred_quarter"))
 
 
 def align_companions(df: DataFrame, day: str) -> DataFrame:

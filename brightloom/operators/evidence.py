@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import periods, urls
-from brightloom.functions.text import classify_title, contains_any, escape_html, utf16_units, without_fence
+from brightloom.functions.text import classify_title, contains_any, escape_html, folded, utf16_units, without_fence
 from brightloom.operators.groups import first_rows, top_rows
 from brightloom.operators.unitize import even_sample
 
@@ -29,7 +29,8 @@ def match_events(contexts: DataFrame, events: DataFrame, key: str, ticker: str,
     """(key, event_id) of each context that fits one event of its company: by year and quarter if just one has them; else, for a company with one event, by a date
     in the context that lies within `near` days of `day` for what accompanies results, and within `fresh` days where it speaks of results themselves."""
     said = F.coalesce(F.col(context), F.lit(""))
-    year, quarter = periods.period_of(said, F.lit(None).cast("int"), F.lit(None).cast("string"))
+    contexts = contexts.withColumn("_folded", folded(said))
+    year, quarter = periods.period_of(F.col("_folded"), F.lit(None).cast("int"), F.lit(None).cast("string"))
     about = F.when(F.coalesce(classify_title(said).isin(COMPANION_KINDS), F.lit(False)), near).when(contains_any(F.lower(said), FRESH_TERMS), fresh)
     c = contexts.select(key, F.col(ticker).alias("_t"), year.alias("_y"), quarter.alias("_q"), (F.col(day) if day else F.lit(None).cast("date")).alias("_day"), periods.nearby_date(said).alias("_near"), about.alias("_within"))
     once = events.groupBy("ticker", "fiscal_year", "quarter").agg(F.min("event_id").alias("by_period"), F.max("event_id").alias("_hi")).where("by_period = _hi")

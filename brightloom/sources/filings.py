@@ -118,9 +118,10 @@ def with_report_period(rows: DataFrame, key: str = "cik") -> DataFrame:
     counted = quarterly_count(rows.select(F.col(key), report.alias("_report"), form.alias("_form")).distinct(), key, "_report", "_form").groupBy(key, "_report").agg(F.min("counted_quarter").alias("_counted"))
     rows = rows.withColumn("_report", report).join(counted, [key, "_report"], "left")
     by_count = F.when(by_date.isNull() | (by_date == "Q4"), F.coalesce("_counted", F.lit("Q1"))).otherwise(by_date)
-    said = periods.period_of(F.col("primaryDocDescription"), F.lit(None).cast("int"), F.lit(None).cast("string"))[1]
+    rows = rows.withColumn("_folded", text.folded(F.col("primaryDocDescription")))
+    said = periods.period_of(F.col("_folded"), F.lit(None).cast("int"), F.lit(None).cast("string"))[1]
     quarter = F.when(form.rlike("^(?:10-K|20-F|40-F)"), "Q4").when(form.startswith("10-Q"), by_count).otherwise(said)
-    return rows.withColumn("quarter", quarter).withColumn("fiscal_year", periods.fiscal_year_of(F.nullif("reportDate", F.lit("")), F.col("fiscal_year_end"))).drop("_report", "_counted")
+    return rows.withColumn("quarter", quarter).withColumn("fiscal_year", periods.fiscal_year_of(F.nullif("reportDate", F.lit("")), F.col("fiscal_year_end"))).drop("_report", "_counted", "_folded")
 
 
 def with_related_period(rows: DataFrame, key: str = "cik") -> DataFrame:
@@ -158,7 +159,8 @@ def documents_of(rows: DataFrame, attachments: DataFrame, companies: DataFrame)
     shown = F.when(exhibit & (F.col("_fq").isNotNull() | F.col("_dated").isNotNull()), F.col("file")).otherwise(F.col("description"))
     shown = F.when(exhibit & current, F.concat(F.lit("Earnings Release / Exhibit "), F.col("document_type"), F.lit(" — "), shown)).otherwise(shown)
     d = d.withColumn("title", F.concat(F.col("name"), F.lit(" Form "), F.col("form"), F.lit(" — "), shown))
-    title_year, title_quarter = periods.period_of(F.col("title"), F.lit(None).cast("int"), F.lit(None).cast("string"))
+    d = d.withColumn("_folded", text.folded(F.col("title")))
+    title_year, title_quarter = periods.period_of(F.col("_folded"), F.lit(None).cast("int"), F.lit(None).cast("string"))
     return d.select(
         F.lit("sec_edgar").alias("source"), F.concat_ws(":", "accessionNumber", "file").alias("source_id"), "ticker", "title",
         F.coalesce(F.nullif("acceptanceDateTime", F.lit("")), F.concat(F.col("filingDate"), F.lit("T00:00:00-04:00"))).alias("published_at"), "url", F.col("url").alias("document_url"),
