@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.session import small, spread, stored
+from brightloom.session import spread, stored
 
 #: classes with several members are broadcast (8 bytes each) up to this many; beyond, the heaviest are, and the rest joins by shuffle.
 BROADCAST_CLASSES = 1_000_000

@@ -15,8 +15,6 @@ repeated keys are separate items; a capacity of null or under 1 gives no rows; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

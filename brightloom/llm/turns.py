@@ -17,7 +17,6 @@ trained model the default weights hold; texts, labels and notes of any length ar
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
