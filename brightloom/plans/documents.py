@@ -456,6 +456,18 @@ def compressed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("pages").cast("long").alias("n_pages"), unitize.compress_call(F.col("pages")).alias("compressed"))
 
 
+@query(rf"""
+WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS deck, {_PARTS} AS parts FROM documents WHERE coalesce(document_kind, '') NOT IN ('transcript', 'question')),
+pages AS (SELECT doc_id, deck, i, array_to_string(parts[i * 12 + 1 : i * 12 + 12], chr(10) || chr(10)) AS pg FROM d, LATERAL (SELECT unnest(range(0, (len(parts) + 11) // 12)) AS i)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_SCORE} DESC, i) AS place, '[[PAGE ' || (i + 1) || ']]' || chr(10) || pg AS shown FROM pages),
+used AS (SELECT *, CASE WHEN deck THEN 30000 ELSE 24000 END AS most, CASE WHEN deck THEN 30000 ELSE 24000 END - coalesce(sum(length(shown) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM ranked WHERE i < CASE WHEN deck THEN 2 ELSE 1 END OR place <= CASE WHEN deck THEN 10 ELSE 8 END)
+SELECT d.doc_id, coalesce(left(string_agg(left(shown, room::BIGINT), chr(10) || chr(10) ORDER BY i) FILTER (WHERE room > 0), any_value(most)), '') AS compressed FROM d LEFT JOIN used u ON u.doc_id = d.doc_id GROUP BY 1""")
+def compressed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that aren't calls in their best pages, as decks and as documents: the first pages and those of highest score."""
+    d = table(spark, sf_dir, "documents").where(~F.coalesce(F.col("document_kind").isin("transcript", "question"), F.lit(False))).select("doc_id", unitize.pseudo_pages(F.col("text")).alias("pages"))
+    return d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, unitize.compress_deck(F.col("pages"))).otherwise(unitize.compress_document(F.col("pages"))).alias("compressed"))
+
+
 def ranked_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.ranked(table(spark, sf_dir, "cards"))
 

@@ -85,4 +85,6 @@ def test_pages(spark):
     assert call.index("[[PAGE 6]]") < call.index("[[PAGE 1]]") and len(call) <= 200
     assert len(df.select(unitize.compress_document(F.col("p"), 20).alias("x")).first()["x"]) <= 20
     assert df.select(unitize.pseudo_pages(F.lit("a\n\nb\n\nc"), 2).alias("x")).first()["x"] == ["a\n\nb", "c"]
-    assert text.contains_any is not None
+    short = lambda said, kind, title: spark.createDataFrame([(said, kind, title)], "s string, k string, t string").select(unitize.compress(F.col("s"), F.col("k"), F.col("t")).alias("x")).first()["x"]
+    assert short("Hello there. Revenue rose.", "filing", None) == "Revenue rose." and short("Hello there.", None, None) == "Hello there." and short(None, None, None) == ""
+    assert short("Hello there. Revenue rose.", "filing", "Earnings call").startswith("[[PAGE 1]]") and short("Hello.", "qa", None) == "[[PAGE 1]]\nHello."
