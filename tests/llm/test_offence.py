@@ -99,7 +99,7 @@ def test_terms_in_chunks_are_those_of_the_text():
 
 
 def test_held_out_accuracy_on_the_test_tables(spark):
-    """Fitted on half of the labels; the threshold is the best on a quarter, and must be near the one in use; figures are of the quarter that nothing else saw."""
+    """Fitted on half of the labels; the threshold is the best on a quarter, and must be near the one in use; figures are of the quarter that neither saw."""
     d = next(x for x in TABLES if Path(x).is_dir())
     rows = offence.labelled(table(spark, d, "documents"), table(spark, d, "content_labels")).select("text", "cats", (F.pmod(F.xxhash64("doc_id"), F.lit(4))).alias("part")).orderBy("doc_id").collect()
     of = lambda parts: ([r["text"] for r in rows if r["part"] in parts], [set(r["cats"]) for r in rows if r["part"] in parts])
